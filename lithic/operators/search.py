@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithic.functions import vectors as V
 from lithic.functions.text import base_name, js_round, lc
+from lithic.session import spread
 
 # Words ignored by lexical retrieval.
 RETRIEVAL_STOP_WORDS = (
@@ -25,7 +26,7 @@ def vectorise(items: DataFrame, text: str = "text") -> DataFrame:
     No filter is put on these columns: the optimiser would push it below the projection and hash
     every text twice. Items without a token simply score zero.
     """
-    return items.withColumn("buckets", V.buckets(F.col(text))).withColumn("norm2", V.squared_norm(F.col("buckets")))
+    return spread(items).withColumn("buckets", V.buckets(F.col(text))).withColumn("norm2", V.squared_norm(F.col("buckets")))
 
 
 def embedding_index(items: DataFrame, text: str = "text") -> DataFrame:
@@ -45,7 +46,7 @@ def cosine_score(counts: dict[int, int]) -> Column:
     query = F.create_map(*[F.lit(x) for b, n in sorted(counts.items()) for x in (b, n)]).cast("map<int,bigint>")
     norm2 = float(sum(n * n for n in counts.values()))
     dot = V.dot_with(F.col("buckets"), query).cast("double")
-    return F.coalesce(dot / (F.sqrt(F.col("norm2").cast("double")) * F.sqrt(F.lit(norm2))), F.lit(0.0))
+    return F.coalesce(F.try_divide(dot, F.sqrt(F.col("norm2").cast("double")) * F.sqrt(F.lit(norm2))), F.lit(0.0))
 
 
 def _top(items: DataFrame, counts: dict[int, int], floor: float, limit: int, text: str) -> DataFrame:
@@ -100,15 +101,19 @@ def hybrid_search(
 ) -> DataFrame:
     """Vector hits first, then plain containment hits not already listed, at a flat 0.5."""
     vector_hits = semantic_search(items, query, limit, text=text).withColumn("stage", F.lit(0))
+    # At most `limit` containment hits can repeat a vector hit, so twice the limit is enough of them;
+    # the duplicates are then dropped among a few dozen rows.
     lexical_hits = (
         items.filter(lc(F.col(lexical)).contains(query.lower()))
-        .join(F.broadcast(vector_hits.select("id")), "id", "left_anti")  # at most `limit` rows
         .select("id", "type", "label", "ref", F.lit(0.5).alias("score"), F.lit(1).alias("stage"))
         .orderBy("id")
-        .limit(limit)
+        .limit(2 * limit)
     )
+    first = Window.partitionBy("id").orderBy("stage")
     return (
         vector_hits.unionByName(lexical_hits)
+        .withColumn("rn", F.row_number().over(first))
+        .filter("rn = 1")
         .orderBy("stage", F.desc("score"), "id")
         .limit(limit)
         .select("id", "type", "label", "ref", "score", "stage")

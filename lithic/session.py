@@ -47,3 +47,13 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint: the result survives the loss of any executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for costly row-wise work on a small input.
+
+    A handful of input splits would leave most cores idle, so such inputs are dealt out evenly.
+    Inputs that already have enough splits, which is every large one, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
