@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithic.session import cut
+from lithic.session import cut, cut_counted, cut_observed
 
 
 def clean_edges(edges: DataFrame) -> DataFrame:
@@ -46,12 +46,14 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> D
 
     `seeds` is (seed, node). A node is expanded once per seed, when it first appears.
     """
-    e = edges.select("src", "dst")
-    frontier = cut(seeds.select("seed", "node").distinct().withColumn("depth", F.lit(0)))
-    levels, depth = [frontier], 0
-    while not frontier.isEmpty() and (max_depth is None or depth < max_depth):
+    e = cut(edges.select("src", "dst"))
+    frontier, fresh = cut_counted(seeds.select("seed", "node").distinct().withColumn("depth", F.lit(0)))
+    recent, depth = [frontier], 0
+    while fresh and (max_depth is None or depth < max_depth):
         depth += 1
-        seen = reduce(DataFrame.unionByName, levels).select("seed", "node")
+        if len(recent) > 6:  # fold the many small levels into one table now and then
+            recent = [cut(reduce(DataFrame.unionByName, recent))]
+        seen = reduce(DataFrame.unionByName, recent).select("seed", "node")
         step = (
             frontier.join(e, frontier.node == e.src)
             .select("seed", F.col("dst").alias("node"))
@@ -59,9 +61,9 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> D
             .join(seen, ["seed", "node"], "left_anti")
             .withColumn("depth", F.lit(depth))
         )
-        frontier = cut(step)
-        levels.append(frontier)
-    return reduce(DataFrame.unionByName, levels)
+        frontier, fresh = cut_counted(step)
+        recent.append(frontier)
+    return reduce(DataFrame.unionByName, recent)
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -70,7 +72,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     Each round shrinks the distance to the smallest member, so the rounds grow with the logarithm of
     the diameter and not with the diameter itself.
     """
-    e = cut(undirected(edges).filter(F.col("src") > F.col("dst")))
+    e, size = cut_counted(undirected(edges).filter(F.col("src") > F.col("dst")))
     while True:
         both = e.unionByName(reverse(e))
         low = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("low"))
@@ -85,9 +87,9 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
             .filter(F.col("src") != F.col("dst"))
             .distinct()
         )
-        new = cut(small)
-        same = new.count() == e.count() and new.join(e, ["src", "dst"], "left_anti").isEmpty()
-        e = new
+        new, new_size = cut_counted(small)
+        same = new_size == size and new.join(e, ["src", "dst"], "left_anti").isEmpty()
+        e, size = new, new_size
         if same:
             break
     found = e.select(F.col("src").alias("id"), F.col("dst").alias("component"))
@@ -95,17 +97,18 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return everyone.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def _trim(e: DataFrame) -> DataFrame:
-    """Drop edges at nodes without predecessors or successors until none is left."""
+def _trim(e: DataFrame) -> tuple[DataFrame, int]:
+    """Drop edges at nodes without predecessors or successors until none is left; count the rest."""
+    size = -1
     while True:
-        kept = cut(
+        kept, n = cut_counted(
             e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(
                 e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"
             ).select("src", "dst")
         )
-        if kept.count() == e.count():
-            return kept
-        e = kept
+        if n == size:
+            return kept, n
+        e, size = kept, n
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -114,17 +117,16 @@ def strong_components(edges: DataFrame) -> DataFrame:
     Trim, then colour: every node takes the smallest label that reaches it, the owner of a colour walks
     back inside its colour, and the nodes met form its component. Repeats on what remains.
     """
-    e = _trim(cut(clean_edges(edges)))
+    e, n_edges = _trim(cut(clean_edges(edges)))
     done: list[DataFrame] = []
-    while not e.isEmpty():
+    while n_edges:
         colour = cut(nodes_of(e).withColumn("c", F.col("id")))
-        while True:
+        moving = True
+        while moving:
             pushed = e.join(colour, e.src == colour.id).groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("p"))
             new = cut(colour.join(pushed, "id", "left").select("id", F.least("c", "p").alias("c"), (F.col("p") < F.col("c")).alias("moved")))
-            stable = new.filter("moved").isEmpty()
+            moving = not new.filter("moved").isEmpty()
             colour = new.select("id", "c")
-            if stable:
-                break
         inside = (
             e.join(colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src")
             .join(colour.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst")
@@ -137,7 +139,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         members = cut(members)
         done.append(members)
         ids = members.select("id")
-        e = _trim(
+        e, n_edges = _trim(
             cut(
                 e.join(ids.withColumnRenamed("id", "src"), "src", "left_anti")
                 .join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti")
@@ -151,24 +153,28 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return found.join(sizes, "component", "left_semi").select("id", "component")
 
 
-def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85, every: int = 5) -> DataFrame:
-    """(id, rank) over distinct edges; the mass of nodes without successors is spread evenly."""
+def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85) -> DataFrame:
+    """(id, rank) over distinct edges; the mass of nodes without successors is spread evenly.
+
+    The loose mass of a round is summed while the round's table is written, so every round reads the
+    previous one exactly once.
+    """
     e = cut(clean_edges(edges))
-    nodes = cut(
+    nodes, n = cut_counted(
         nodes_of(e).join(e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out")), "id", "left").fillna(0, ["out"])
     )
-    n = nodes.count()
-    rank = nodes.select("id", "out", F.lit(1.0 / max(n, 1)).alias("rank"))
-    for i in range(1, iterations + 1):
+    if n == 0:
+        return nodes.select("id", F.lit(0.0).alias("rank"))
+    rank = nodes.select("id", "out", F.lit(1.0 / n).alias("rank"))
+    loose = nodes.filter("out = 0").count() / n
+    for _ in range(iterations):
         share = rank.filter("out > 0").select(F.col("id").alias("src"), (F.col("rank") / F.col("out")).alias("s"))
         got = e.join(share, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("s").alias("got"))
-        loose = F.coalesce(rank.filter("out = 0").agg(F.sum("rank")).scalar(), F.lit(0.0))
-        rank = nodes.join(got, "id", "left").select(
-            "id", "out",
-            (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + loose / n)).alias("rank"),
+        new = nodes.join(got, "id", "left").select(
+            "id", "out", (F.lit((1 - damping + damping * loose) / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")
         )
-        if i % every == 0:
-            rank = cut(rank)
+        rank, seen = cut_observed(new, loose=F.sum(F.when(F.col("out") == 0, F.col("rank"))))
+        loose = seen["loose"] or 0.0
     return rank.select("id", "rank")
 
 
@@ -198,14 +204,14 @@ def layers(edges: DataFrame, max_rounds: int = 10000) -> DataFrame:
     """
     e = cut(clean_edges(edges))
     indeg = nodes_of(e).join(e.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("need")), "id", "left").fillna(0, ["need"])
-    front = cut(indeg.filter("need = 0").select("id", F.lit(0).alias("layer")))
+    front, fresh = cut_counted(indeg.filter("need = 0").select("id", F.lit(0).alias("layer")))
     open_ = cut(indeg.filter("need > 0"))
     placed, k = [front], 0
-    while not front.isEmpty() and k < max_rounds:
+    while fresh and k < max_rounds:
         k += 1
         hit = front.join(e, front.id == e.src).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("h"))
         left = cut(open_.join(hit, "id", "left").select("id", (F.col("need") - F.coalesce("h", F.lit(0))).alias("need")))
-        front = cut(left.filter("need = 0").select("id", F.lit(k).alias("layer")))
+        front, fresh = cut_counted(left.filter("need = 0").select("id", F.lit(k).alias("layer")))
         open_ = left.filter("need > 0")
         placed.append(front)
     return reduce(DataFrame.unionByName, placed)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -43,10 +45,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint: the result survives the loss of any executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut(df: DataFrame) -> DataFrame:
+    """Write the rows as a table in the shared checkpoint folder and go on from that table.
+
+    The rows are computed once, survive the loss of any executor, and come back with file statistics,
+    so later joins know how large they are. A session's tables share one sub-folder, named after the
+    application, that can be dropped when the job is over.
+    """
+    return cut_counted(df)[0]
+
+
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """`cut` plus the number of rows, counted while they are written."""
+    out, seen = cut_observed(df)
+    return out, seen["n"]
+
+
+def cut_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """`cut` plus aggregates gathered in the same pass; `n` is always the number of rows."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    sc = spark.sparkContext
+    path = f"{sc.getCheckpointDir()}/lithic-{sc.applicationId}/{uuid.uuid4().hex}"
+    seen = Observation()
+    extra = [m.alias(name) for name, m in metrics.items()]
+    df.observe(seen, F.count(F.lit(1)).alias("n"), *extra).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), dict(seen.get)
 
 
 def spread(df: DataFrame) -> DataFrame:
