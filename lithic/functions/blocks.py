@@ -106,3 +106,98 @@ _RESULT = T.StructType([T.StructField("code", T.StringType()), T.StructField("en
 def code_blocks(text: pd.Series, lang: pd.Series, style: pd.Series) -> pd.DataFrame:
     code = [mask(t, g) for t, g in zip(text, lang)]
     return pd.DataFrame({"code": code, "ends": [block_ends(c, s) for c, s in zip(code, style)]})
+
+
+_IF = re.compile(r"^(?:\}\s*)?(else\s+)?if\s*\(", re.S)
+_OPEN_TAIL = re.compile(r"(?:=>|[=+\-*/%&|<>?:,(\[.]|\breturn)\s*$")
+_CONTINUES = re.compile(r"\s*(?:[.?:+*/%&|)\]=]|-(?!-))")
+
+
+def _condition(head: str) -> tuple[str | None, str]:
+    """Split 'if (cond) rest' into its condition and the rest."""
+    i = head.index("(")
+    depth = 0
+    for j in range(i, len(head)):
+        depth += {"(": 1, ")": -1}.get(head[j], 0)
+        if depth == 0:
+            return " ".join(head[i + 1 : j].split()), head[j + 1 :].strip()
+    return None, ""
+
+
+def statements(text: str, code: str) -> list[tuple[int, str, str | None]]:
+    """(line, statement, innermost if condition) of a brace-style file, blocks flattened."""
+    out: list[tuple[int, str, str | None]] = []
+    conds: list[str | None] = []
+    start, depth, last_if = 0, 0, None
+    braces: list[bool] = []  # True for a block, False for an object literal
+
+    def emit(end: int) -> str:
+        nonlocal start, last_if
+        raw, lead = text[start:end].strip(), len(code[start:end]) - len(code[start:end].lstrip())
+        at = code.count("\n", 0, start + lead) + 1
+        cond, begin = (conds[-1] if conds else None), start
+        start = end + 1
+        head = code[begin:end].strip()
+        if _IF.match(head):
+            c, rest = _condition(raw)
+            last_if = c
+            if rest:
+                out.append((at, rest, c))
+        elif re.match(r"^else\b", head):
+            rest = raw[4:].strip()
+            if rest:
+                out.append((at, rest, f"!({last_if})" if last_if else cond))
+        elif head:
+            out.append((at, raw, cond))
+        return head
+
+    for m in re.finditer(r"[\n{}();\[\]]", code):
+        ch, i = m.group(0), m.start()
+        if ch in "([":
+            depth += 1
+        elif ch in ")]":
+            depth = max(depth - 1, 0)
+        elif ch == "{":
+            head = code[start:i].strip()
+            literal = depth > 0 or (head and bool(_OPEN_TAIL.search(head)) and not head.endswith("=>")) or bool(re.match(r"^(?:import|export)$|^(?:const|let|var)$", head))
+            braces.append(not literal)
+            if literal:
+                depth += 1
+                continue
+            inner = conds[-1] if conds else None
+            if _IF.match(head):
+                last_if, _ = _condition(text[start:i].strip())
+                inner = last_if
+            elif re.match(r"^else\b", head):
+                inner = f"!({last_if})" if last_if else inner
+            conds.append(inner)
+            start = i + 1
+        elif ch == "}":
+            if braces and braces.pop():
+                if code[start:i].strip():
+                    emit(i)
+                if conds:
+                    closed = conds.pop()
+                    last_if = closed if closed and not closed.startswith("!(") else last_if
+                start = i + 1
+            else:
+                depth = max(depth - 1, 0)
+        elif ch == ";" and depth == 0:
+            emit(i)
+        elif ch == "\n" and depth == 0:
+            head = code[start:i].rstrip()
+            ended = head.strip() and not _OPEN_TAIL.search(head) and not _CONTINUES.match(code[i:])
+            # Without semicolons a complete line is a statement; annotations wait for what they mark.
+            if ended and re.match(r"^\s*(?:const|let|var|return|await|import|export|[\w.]+\s*[+\-*/]?=[^=]|[\w.]+\()", head) and not re.search(r"\)\s*$", head[: head.find("(")] if "(" in head else ""):
+                emit(i)
+    return out
+
+
+_STATEMENTS = T.ArrayType(
+    T.StructType([T.StructField("line", T.LongType()), T.StructField("text", T.StringType()), T.StructField("condition", T.StringType())])
+)
+
+
+@F.pandas_udf(_STATEMENTS)
+def statement_list(text: pd.Series, code: pd.Series) -> pd.Series:
+    return pd.Series([[{"line": a, "text": b, "condition": c} for a, b, c in statements(t, k)] for t, k in zip(text, code)])
