@@ -58,7 +58,7 @@ def page_security_scan(spark, sf):
     "route_scan",
     _O + """select case p when '1-URGENT' then 'GET' when '3-MEDIUM' then 'GET' else 'HANDLEFUNC' end as method, '/orders/' || k as path,
   case p when '1-URGENT' then 'python-web' when '3-MEDIUM' then 'spring' else 'go-http' end as framework, path as file,
-  case p when '1-URGENT' then 10 when '3-MEDIUM' then 5 else 4 end as line from o where p in ('1-URGENT','3-MEDIUM','4-NOT SPECIFIED')""",
+  case p when '1-URGENT' then 10 when '3-MEDIUM' then 6 else 4 end as line from o where p in ('1-URGENT','3-MEDIUM','4-NOT SPECIFIED')""",
 )
 def route_scan(spark, sf):
     from lithic.operators.relations import dedupe_routes
@@ -125,7 +125,7 @@ def infra_paths(w: Warehouse):
  union all select path, 'python', 'view_' || k, 11, 13, 1, 'settle_' || k, null, false from o where p = '1-URGENT'
  union all select path, 'typescript', 'load' || k, 3, 9, 3, 'findMany,settle', 'Loads order ' || k, true from o where p = '2-HIGH'
  union all select path, 'typescript', 'total', 11, 13, 2, 'load' || k, null, false from o where p = '2-HIGH'
- union all select path, 'java', 'net', 5, 12, 3, 'multiply,compareTo,subtract,save', null, false from o where p = '3-MEDIUM'
+ union all select path, 'java', 'net', 6, 14, 3, 'multiply,compareTo,subtract,add,net', null, false from o where p = '3-MEDIUM'
  union all select path, 'go', 'Serve' || k, 3, 8, 2, 'HandleFunc,audit' || c || ',Getenv', null, false from o where p = '4-NOT SPECIFIED')
  select file || '::' || name || '#' || line as id, file, lang, name, line, end_line, end_line - line + 1 as loc, complexity, calls, doc, async from f""",
 )
@@ -137,7 +137,7 @@ def function_extract(spark, sf):
 @query(
     "class_extract",
     _O + """select path || '::Order' || k as id, path as file, 'typescript' as lang, 'Order' || k as name, 'class' as kind, 10 as line, 14 as end_line, 5 as loc, null::varchar as doc from o where p = '2-HIGH'
- union all select path || '::Order' || k || 'Service', path, 'java', 'Order' || k || 'Service', 'class', 3, 13, 11, null from o where p = '3-MEDIUM'""",
+ union all select path || '::Order' || k || 'Service', path, 'java', 'Order' || k || 'Service', 'class', 3, 15, 13, null from o where p = '3-MEDIUM'""",
 )
 def class_extract(spark, sf):
     return symbols.classes(symbols.parse(spread(corpus(Warehouse(spark, sf)))))
@@ -163,8 +163,8 @@ def import_resolve(spark, sf):
 @query(
     "file_records",
     _O + """select path, case p when '1-URGENT' then 'python' when '2-HIGH' then 'typescript' when '3-MEDIUM' then 'java' else 'go' end as lang,
-  case p when '1-URGENT' then 14 when '2-HIGH' then 16 when '3-MEDIUM' then 14 else 9 end as loc,
-  case p when '1-URGENT' then 10 when '2-HIGH' then 14 when '3-MEDIUM' then 13 else 8 end as sloc,
+  case p when '1-URGENT' then 14 when '2-HIGH' then 16 when '3-MEDIUM' then 16 else 9 end as loc,
+  case p when '1-URGENT' then 10 when '2-HIGH' then 14 when '3-MEDIUM' then 15 else 8 end as sloc,
   case p when '1-URGENT' then 2 when '2-HIGH' then 2 else 1 end as functions,
   case p when '1-URGENT' then 4 when '2-HIGH' then 5 when '3-MEDIUM' then 3 else 2 end as complexity,
   case p when '1-URGENT' then 'Order ' || k || ' of customer ' || c end as doc from o where p <> '5-LOW'""",

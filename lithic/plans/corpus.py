@@ -47,13 +47,15 @@ setInterval(load{k}, 5000);
 import app.y{y}.Order{c}Service;
 @Service
 public class Order{k}Service {{
+  private Order{c}Service next;
   @GetMapping("/orders/{k}")
   public BigDecimal net(BigDecimal gross) {{
     BigDecimal tax = gross.multiply(RATE);
     if (gross.compareTo(tax) > 0 && {n} > 10) {{
       return gross.subtract(tax);
     }}
-    return repo.save(tax);
+    BigDecimal spare = tax.add(gross);
+    return next.net(tax);
   }}
 }}
 """),
