@@ -58,10 +58,12 @@ def _call_names(code: Column) -> Column:
     )
 
 
-def _defs(kind: str) -> tuple[Column, list[tuple[str, str]]]:
-    """Matches of the definition patterns of every language plus (name regex, class kind) per pattern."""
+def _defs(kind: str, only: list[str] | None) -> tuple[Column, list[tuple[str, str]]]:
+    """Matches of the definition patterns of all (or only some) languages plus (name regex, class kind) per pattern."""
     groups: dict[tuple[str, str], list[str]] = {}
     for lang, g in GRAMMARS.items():
+        if only is not None and lang not in only:
+            continue
         for k, rx in [("function", r) for r in g.functions] if kind == "function" else g.classes:
             groups.setdefault((k, rx), []).append(lang)
     found = [
@@ -75,9 +77,9 @@ def _span(m: Column) -> tuple[Column, Column]:
     return line, F.greatest(F.element_at(F.col("ends"), line), line)
 
 
-def functions(parsed: DataFrame) -> DataFrame:
+def functions(parsed: DataFrame, only: list[str] | None = None) -> DataFrame:
     """(id, file, lang, name, line, end_line, loc, complexity, calls, doc, async)."""
-    found, specs = _defs("function")
+    found, specs = _defs("function", only)
 
     def record(m: Column) -> Column:
         line, end = _span(m)
@@ -114,9 +116,9 @@ def first_spec_name(m: Column, specs: list[tuple[str, str]]) -> Column:
     return out
 
 
-def classes(parsed: DataFrame) -> DataFrame:
+def classes(parsed: DataFrame, only: list[str] | None = None) -> DataFrame:
     """(id, file, lang, name, kind, line, end_line, loc, doc)."""
-    found, specs = _defs("class")
+    found, specs = _defs("class", only)
 
     def record(m: Column) -> Column:
         line, end = _span(m)
@@ -134,10 +136,12 @@ def classes(parsed: DataFrame) -> DataFrame:
     )
 
 
-def imports(parsed: DataFrame) -> DataFrame:
+def imports(parsed: DataFrame, only: list[str] | None = None) -> DataFrame:
     """(file, source, raw, line): the quoted module, else the word after the import keyword."""
     groups: dict[str, list[str]] = {}
     for lang, g in GRAMMARS.items():
+        if only is not None and lang not in only:
+            continue
         for rx in g.imports:
             groups.setdefault(rx, []).append(lang)
     found = F.concat(*[matches(F.col("text"), rx, i, F.col("lang").isin(langs)) for i, (rx, langs) in enumerate(groups.items())])
