@@ -150,8 +150,7 @@ _FLOWS = """
 fname as (select upper(split_part(path,'/',3)[1]) || split_part(path,'/',3)[2:] as name, file, n, ord from ff),
 fl as (select 'route:' || name as flow, name, 'api' as kind, file as entry, n as n_routes from (select *, row_number() over (partition by name order by ord) r2 from fname) where r2 = 1),
 se as (select a.path as src, b.path as dst from m_succ join m_paths a on a.pk = src join m_paths b on b.pk = dst),
-rr as (select flow, entry as node, 0 as depth from fl union select flow, dst, depth + 1 from rr join se on src = node where depth < 400),
-r as (select flow, node, min(depth) depth from rr group by all),
+r as (select flow, entry as node from fl union select flow, dst from r join se on src = node),
 wt as (select distinct file, "table" from m_dbw where is_write)
 """
 
@@ -174,7 +173,9 @@ def flow_inference(spark, sf):
 
 
 @query("flow_step_files", oracle(_FLOWS + """
-, s as (select flow, node as ref, row_number() over (partition by flow order by depth, node) i from r where node <> (select entry from fl where fl.flow = r.flow))
+, rd as (select flow, entry as node, 0 as depth from fl union select flow, dst, depth + 1 from rd join se on src = node where depth < 120),
+d as (select flow, node, min(depth) depth from rd group by all),
+s as (select flow, node as ref, row_number() over (partition by flow order by depth, node) i from d where node <> (select entry from fl where fl.flow = d.flow))
 select flow, i, string_split(ref,'/')[-1] as label, ref from s where i <= 8 union all select flow, 0, string_split(entry,'/')[-1], entry from fl"""))
 def flow_step_files(spark, sf):
     w = Warehouse(spark, sf)
