@@ -5,6 +5,8 @@ Everything after the evidence relation is aggregated per capability, a table as
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,10 @@ def _matches(df: DataFrame, caps, signal: str, hay: Column, item: Column, file:
     """
     if not any(c.needles.get(signal) for c in caps):
         return df.limit(0).select(F.lit("").alias("cap"), F.lit(signal).alias("signal"), item.alias("item"), file.alias("file"), F.lit(0).alias("hits"))
+    if not tokens:
+        # One alternation discards the rows without any needle before they are matched one by one.
+        words = sorted({w.lower() for c in caps for w in c.needles.get(signal, [])})
+        df = df.filter(F.rlike(hay, F.lit("|".join(re.escape(w) for w in words))))
     count = (lambda n: F.size(F.array_intersect(n["words"], hay))) if tokens else (lambda n: F.size(F.filter(n["words"], lambda w: F.contains(hay, w))))
     found = F.filter(F.transform(_needles(caps, signal), lambda n: F.struct(n["cap"].alias("cap"), count(n).alias("hits"))), lambda m: m["hits"] > 0)
     return df.select(F.explode(found).alias("m"), item.alias("item"), file.alias("file")).select("m.cap", F.lit(signal).alias("signal"), "item", "file", "m.hits")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lithic.functions.text import base_name, dir_name, extension, normalise_path, strip_extension
+from lithic.session import cut
 
 # Extensions and index names tried for a relative import, in order of preference.
 CODE_EXTS = ".ts .tsx .js .jsx .mjs .cjs .py .go .rs .java .kt .rb .php .cs .c .cpp .h .hpp .swift .dart .scala .ex .exs .lua".split()
@@ -142,13 +143,14 @@ def resolve_calls(calls: DataFrame, functions: DataFrame, imports: DataFrame) ->
     every definition of it, so ambiguous names are only joined together with a file.
     """
     by_name = functions.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("only"))
-    by_file = functions.groupBy("file", "name").agg(F.min_by("id", F.struct("ord", "id")).alias("id"), F.min("ord").alias("ord"))
-    known = calls.select("caller_id", "file", "name").distinct().join(by_name, "name")
+    # Both tables feed several branches below, so each is written once.
+    by_file = cut(functions.groupBy("file", "name").agg(F.min_by("id", F.struct("ord", "id")).alias("id"), F.min("ord").alias("ord")))
+    known = cut(calls.select("caller_id", "file", "name").distinct().join(by_name, "name"))
     unique = known.filter("n = 1").select("caller_id", F.col("only").alias("dst"))
     shared = known.filter("n > 1").select("caller_id", "file", "name")
     local = shared.join(by_file.select("file", "name", F.col("id").alias("local_id")), ["file", "name"], "left")
     same_file = local.filter(F.col("local_id").isNotNull()).select("caller_id", F.col("local_id").alias("dst"))
-    open_calls = local.filter(F.col("local_id").isNull()).select("caller_id", "file", "name")
+    open_calls = cut(local.filter(F.col("local_id").isNull()).select("caller_id", "file", "name"))
     scoped = open_calls.join(_imported_names(open_calls, by_file, imports), ["file", "name"]).select("caller_id", "dst")
     return (
         unique.unionByName(same_file)
@@ -167,7 +169,7 @@ def _imported_names(open_calls: DataFrame, by_file: DataFrame, imports: DataFram
     very widely imported one blows up the intermediate result.
     """
     wanted = open_calls.select("file", "name").distinct()
-    links = imports.filter(F.col("resolved").isNotNull()).select("file", "resolved").distinct()
+    links = cut(imports.filter(F.col("resolved").isNotNull()).select("file", "resolved").distinct())
     n_wanted = wanted.groupBy("file").agg(F.count("*").alias("n_wanted"))
     defs = by_file.groupBy(F.col("file").alias("resolved")).agg(F.count("*").alias("n_defs"))
     choice = (
