@@ -192,3 +192,52 @@ def palette_search(functions: DataFrame, files: DataFrame, tables: DataFrame, qu
         F.lit("table").alias("kind"), F.col("name").alias("label"), F.lit("").alias("meta")
     )
     return fn.unionByName(fl).unionByName(tb)
+
+
+# How many neighbours of each kind a seed may bring along, and the total.
+CONTEXT_SEEDS, CONTEXT_BUDGET = 6, 10
+CONTEXT_NEIGHBOURS = {"calls": 3, "called by": 3, "imports": 4, "imported by": 3, "written by": 3}
+
+
+def context_neighbours(
+    seeds: DataFrame, call_edges: DataFrame, imports: DataFrame, writers: DataFrame, budget: int | None = CONTEXT_BUDGET
+) -> DataFrame:
+    """(seed, relation, neighbour): the direct surroundings of the best evidence items.
+
+    `seeds` is (type, id, score); only the first few are expanded, so that side of each join is a
+    handful of rows, and the row-number filter prunes before the shuffle.
+    """
+    few = seeds.orderBy(F.desc("score"), "id").limit(CONTEXT_SEEDS).select("type", F.col("id").alias("seed"))
+    links = imports.filter(F.col("resolved").isNotNull()).select(F.col("file").alias("a"), F.col("resolved").alias("b")).distinct()
+    calls = call_edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    specs = [
+        ("function", "calls", calls, "a", "b"), ("function", "called by", calls, "b", "a"), ("file", "imports", links, "a", "b"),
+        ("file", "imported by", links, "b", "a"), ("table", "written by", writers.select(F.col("table").alias("a"), F.col("file").alias("b")).distinct(), "a", "b"),
+    ]
+    w = Window.partitionBy("seed", "relation").orderBy("neighbour")
+    out = None
+    for kind, relation, edges, at, to in specs:
+        part = (
+            edges.join(F.broadcast(few.filter(F.col("type") == kind).withColumnRenamed("seed", at)), at)  # at most six rows
+            .select(F.col(at).alias("seed"), F.lit(relation).alias("relation"), F.col(to).alias("neighbour"))
+            .filter("seed <> neighbour")
+            .withColumn("rn", F.row_number().over(w))
+            .filter(F.col("rn") <= CONTEXT_NEIGHBOURS[relation])
+            .drop("rn")
+        )
+        out = part if out is None else out.unionByName(part)
+    return out.orderBy("seed", "relation", "neighbour").limit(budget) if budget else out
+
+
+def overview_text(counts: DataFrame, languages: DataFrame, flows: DataFrame) -> DataFrame:
+    """One row of plain text that describes a repository, from its counts, languages and flows."""
+    top = lambda df, c, n, order: df.orderBy(*order).limit(n).agg(F.array_join(F.array_sort(F.collect_list(c)), ", ")).scalar()
+    langs = top(languages, F.concat("label", F.lit(" ("), F.col("files").cast("string"), F.lit(" files)")), 6, [F.desc("bytes"), "id"])
+    names = top(flows, F.col("name"), 12, [F.desc("function_count"), "flow"])
+    s = lambda c: F.col(c).cast("string")
+    return counts.select(
+        F.concat(
+            F.lit("Languages: "), F.coalesce(F.nullif(langs, F.lit("")), F.lit("none")), F.lit("\nSize: "), s("files"), F.lit(" files, "), s("loc"), F.lit(" LOC, "), s("functions"),
+            F.lit(" functions\nRoutes: "), s("routes"), F.lit(", tables: "), s("tables"), F.lit("\nFlows: "), F.coalesce(F.nullif(names, F.lit("")), F.lit("none")),
+        ).alias("text")
+    )

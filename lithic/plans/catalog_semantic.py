@@ -410,3 +410,32 @@ def question_ops(spark, sf):
     from lithic.functions.rules import question_op
 
     return Warehouse(spark, sf).table("conversations").groupBy("role", question_op(F.col("text")).alias("op")).agg(F.count("*").alias("n"))
+
+
+@query("context_neighbours", oracle(_CENTRAL + """
+, sd as (select path as seed from central order by score desc, path limit 6), lk as (select distinct file as a, resolved as b from m_imports where file <> resolved),
+n as (select seed, 'imports' as relation, b as neighbour from sd join lk on a = seed union all select seed, 'imported by', a from sd join lk on b = seed),
+r as (select *, row_number() over (partition by seed, relation order by neighbour) rn from n)
+select seed, relation, neighbour from r where rn <= case relation when 'imports' then 4 else 3 end"""))
+def context_neighbours(spark, sf):
+    from lithic.operators.search import context_neighbours as expand
+
+    w = Warehouse(spark, sf)
+    seeds = Q.centrality(w.files, w.imports).select(F.lit("file").alias("type"), F.col("path").alias("id"), "score")
+    calls = w.functions.select(F.col("id").alias("src"), F.col("id").alias("dst"))
+    return expand(seeds, calls, w.imports, w.db_access.select("table", "file"), None)
+
+
+@query("overview_text", oracle("""
+, l as (select case lang when 'python' then 'Python' when 'typescript' then 'TypeScript' when 'java' then 'Java' when 'go' then 'Go' when 'ruby' then 'Ruby' when 'tsx' then 'TSX' when 'javascript' then 'JavaScript' else 'Rust' end
+   || ' (' || count(*) || ' files)' as t from m_files group by lang order by sum(size) desc, lang limit 6)
+select 'Languages: ' || (select string_agg(t, ', ' order by t) from l) || chr(10) || 'Size: ' || (select count(*) from m_files) || ' files, ' || (select cast(sum(loc) as bigint) from m_files) || ' LOC, ' || (select count(*) from m_functions)
+ || ' functions' || chr(10) || 'Routes: ' || (select count(*) from (select distinct method, path, file from m_routes)) || ', tables: ' || (select count(distinct "table") from m_db) || chr(10) || 'Flows: none' as text"""))
+def overview_text(spark, sf):
+    from lithic.operators.relations import language_stats, manifest_counts
+    from lithic.operators.search import overview_text as text
+
+    w = Warehouse(spark, sf)
+    no_flows = w.spark.createDataFrame([], "flow string, name string, function_count bigint")
+    counts = manifest_counts(w.files, w.functions, w.table("nation"), w.routes, w.db_access, w.env, w.dependencies, w.security, no_flows)
+    return text(counts, language_stats(w.files), no_flows)
