@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lithic.llm import simhash
+from lithic.llm import bpe, mixing, pii, quality, simhash
 from lithic.llm.common import table
 
 
@@ -12,5 +14,35 @@ def op4_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_gray,)}
-ORACLES: dict[str, str] = {}
+def pii_rows(docs: DataFrame) -> DataFrame:
+    found = pii.detect(docs)
+    return found.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+def op6_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_rows(table(spark, sf_dir, "documents"))
+
+
+def op7_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_mixing_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+#: The rank file of the registered query and of the pipeline.
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def bpe_rows(docs: DataFrame) -> DataFrame:
+    coded = bpe.encoded(docs, RANKS, public_tokenizers.PATTERN)
+    return coded.select("doc_id", "n_tokens", F.sha2(F.col("ids_text").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_rows(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_simhash_gray, op6_pii_crf, op7_rff_quality, op8_mixing_schedule, op10_bpe_transducer)}
+ORACLES: dict[str, str] = {"op8_mixing_schedule": mixing.SQL.strip()}
