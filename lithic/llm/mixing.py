@@ -116,12 +116,12 @@ src AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDE
 w AS (SELECT *, [{", ".join(f"{x}.0" for x in WEIGHTS)}][src % {len(WEIGHTS)} + 1] AS w, {CAP}.0::DOUBLE * source_size AS most FROM src),
 ordered AS (SELECT *, {SHARE}::DOUBLE * sum(source_size) OVER () AS pot, coalesce(sum(most) OVER before, 0.0) AS full_words, sum(w) OVER rest AS open_weight FROM w
   WINDOW before AS (ORDER BY most / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), rest AS (ORDER BY most / w, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-level AS (SELECT min((pot - full_words) / open_weight) AS level FROM ordered WHERE (pot - full_words) / open_weight <= most / w),
+level AS (SELECT arg_min((pot - full_words) / open_weight, most / w) AS level FROM ordered WHERE (pot - full_words) / open_weight <= most / w),
 goal AS (SELECT source, src, source_size, least(most, level * w) AS target FROM w, level),
 quota AS (SELECT *, round(target)::BIGINT AS quota, ceil(source_size / {BLOCK})::BIGINT AS blocks FROM goal),
-laid AS (SELECT *, (sum(quota) OVER (ORDER BY src) - quota)::BIGINT AS at, (sum(quota) OVER ())::BIGINT AS everything FROM quota),
-slots AS (SELECT i, floor((i * {GOLDEN}::DOUBLE % 1.0::DOUBLE) * e)::BIGINT AS p FROM (SELECT unnest(range(ceil(e / {BLOCK})::BIGINT)) AS i, e FROM (SELECT max(everything) AS e FROM laid))),
-given AS (SELECT src, blocks, row_number() OVER (PARTITION BY src ORDER BY i) - 1 AS r FROM slots JOIN laid ON p >= at AND p < at + quota),
+laid AS (SELECT *, (sum(quota) OVER (ORDER BY src) - quota)::BIGINT AS lead, (sum(quota) OVER ())::BIGINT AS total FROM quota),
+slots AS (SELECT i, floor((i * {GOLDEN}::DOUBLE % 1.0::DOUBLE) * e)::BIGINT AS p FROM (SELECT unnest(range(ceil(e / {BLOCK})::BIGINT)) AS i, e FROM (SELECT max(total) AS e FROM laid))),
+given AS (SELECT src, blocks, row_number() OVER (PARTITION BY src ORDER BY i) - 1 AS r FROM slots JOIN laid ON p >= lead AND p < lead + quota),
 times AS (SELECT src, r % blocks AS b, count(*) AS times FROM given WHERE r < {CAP} * blocks GROUP BY ALL),
 placed AS (SELECT doc_id, size, src, source_size, target, sum(size) OVER (PARTITION BY src ORDER BY md5(doc_id::VARCHAR), size ROWS UNBOUNDED PRECEDING) - size AS start FROM sized JOIN goal ON sized.source IS NOT DISTINCT FROM goal.source),
 touched AS (SELECT *, unnest(range((start // {BLOCK})::BIGINT, ((start + size - 1) // {BLOCK})::BIGINT + 1)) AS b FROM placed WHERE size > 0),

@@ -6,14 +6,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithic.llm import bpe, mixing, pii, quality, simhash
+from lithic.llm import bpe, imatch, kdtree, language, mixing, passages, pii, quality, simhash, substrings
 from lithic.llm.common import table
 
 
+def op1_collinear_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.summary(table(spark, sf_dir, "documents"))
+
+
+def op2_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.with_next(table(spark, sf_dir, "documents"))
+
+
+def op3_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op5_bwt_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def pii_rows(docs: DataFrame) -> DataFrame:
     found = pii.detect(docs)
     return found.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
@@ -31,6 +47,10 @@ def op8_mixing_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 #: The rank file of the registered query and of the pipeline.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -44,5 +64,9 @@ def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_rows(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_gray, op6_pii_crf, op7_rff_quality, op8_mixing_schedule, op10_bpe_transducer)}
-ORACLES: dict[str, str] = {"op8_mixing_schedule": mixing.SQL.strip()}
+_ALL = (
+    op1_collinear_passages, op2_imatch_fingerprints, op3_ppm_language, op4_simhash_gray, op5_bwt_substrings, op6_pii_crf, op7_rff_quality, op8_mixing_schedule,
+    op9_kdtree_topk, op10_bpe_transducer,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLES: dict[str, str] = {"op8_mixing_schedule": mixing.SQL.strip(), "op9_kdtree_topk": kdtree.SQL.strip()}
