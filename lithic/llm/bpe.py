@@ -198,8 +198,8 @@ def coder(raw: bytes, pattern: str) -> Coder:
     return _coders[key]
 
 
-def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids, n_tokens, ids_text, decoded): the ids of each text as an array and as joined text, and the bytes they decode to."""
+def encoded(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep`, and ids, n_tokens, ids_text, decoded: the ids of each text as an array and as joined text, and the bytes they decode to."""
     with open(ranks_path, "rb") as f:  # a vocabulary: its size does not depend on the corpus
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -209,8 +209,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             entries = [use.entries(t) for t in strings(batch.column("text"))]
             ids = [list(chain.from_iterable(e[0] for e in own)) for own in entries]
             columns = [pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array(",".join(e[1] for e in own) for own in entries), pa.array(map(use.decode, ids), pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "ids", "n_tokens", "ids_text", "decoded"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], [*keep, "ids", "n_tokens", "ids_text", "decoded"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    columns = f"doc_id {kind}, ids array<int>, n_tokens long, ids_text string, decoded binary"
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, columns)
+    kept = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{kept}ids array<int>, n_tokens long, ids_text string, decoded binary")

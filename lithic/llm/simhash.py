@@ -55,16 +55,16 @@ def simhash(text: bytes, width: int = WIDTH) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each row's `text` as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep` and fp, the fingerprint of each row's `text` as a signed 64-bit number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             fps = np.array([simhash(t, width) for t in blobs(batch.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fps.view(np.int64))], [*keep, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    kept = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{kept}fp bigint")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -192,13 +192,28 @@ def edges(codes: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS
     )
 
 
+def components(codes: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(fp, root): each fingerprint that is linked to another, and the smallest one of its group."""
+    return traverse.components(cut(edges(codes, radius, bucket_rows))).select(F.col("id").alias("fp"), F.col("component").alias("root"))
+
+
 def groups(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(doc_id, fingerprint, component_id): hex fingerprint and smallest doc_id reachable over links."""
     marked = cut(fingerprints(docs, width))
     codes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    joined = traverse.components(edges(codes.select("fp"), radius, bucket_rows)).withColumnRenamed("id", "fp")
-    member = codes.join(joined, "fp")
-    lowest = member.groupBy("component").agg(F.min("first").alias("low"))
-    named = member.join(lowest, "component").select("fp", "low")
+    member = codes.join(components(codes.select("fp"), radius, bucket_rows), "fp")
+    lowest = member.groupBy("root").agg(F.min("first").alias("low"))
+    named = member.join(lowest, "root").select("fp", "low")
     named = cut(codes.join(named, "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id")))
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
+    """One row of `docs`, all columns, of each group: that of the smallest doc_id (a null one last), then text hash."""
+    keyed = docs.withColumn("_key", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    marked = cut(fingerprints(keyed, width, ("doc_id", "_key")))
+    roots = components(marked.select("fp").distinct(), radius)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "_key")).alias("first")
+    kept = marked.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first._key").alias("_first"))
+    one = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_key"] == kept["_first"]))
+    return one.dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
