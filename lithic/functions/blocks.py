@@ -12,8 +12,11 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lithic.functions.languages import COMMENT_LINE
+
 _HASH = re.compile(r"(?P<c>\#[^\n]*)|(?P<t>'''[\s\S]*?'''|\"\"\"[\s\S]*?\"\"\")|(?P<s>'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\")")
 _SLASH = re.compile(r"(?P<c>//[^\n]*|/\*[\s\S]*?\*/)|(?P<t>`(?:\\.|[^`\\])*`)|(?P<s>'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\")")
+_COMMENT = re.compile(COMMENT_LINE)
 _NOT_NL = re.compile(r"[^\n]")
 _OPEN_END = re.compile(r"^\s*(?:local\s+)?(?:def|defp|class|module|defmodule|function|if|unless|while|until|case|begin|for)\b|\bdo\b(?:\s*\|[^|]*\|)?\s*$")
 _CLOSE_END = re.compile(r"^\s*end\b")
@@ -99,13 +102,123 @@ def block_ends(code: str, style: str) -> list[int]:
     return _keyword_ends(lines)
 
 
-_RESULT = T.StructType([T.StructField("code", T.StringType()), T.StructField("ends", T.ArrayType(T.IntegerType()))])
+def comments_above(text: str) -> list[int]:
+    """For each line, how many comment lines stand directly above it."""
+    counts, run = [], 0
+    for line in text.split("\n"):
+        counts.append(run)
+        run = run + 1 if _COMMENT.search(line) else 0
+    return counts
+
+
+_RESULT = T.StructType([T.StructField("code", T.StringType()), T.StructField("ends", T.ArrayType(T.IntegerType())), T.StructField("above", T.ArrayType(T.IntegerType()))])
 
 
 @F.pandas_udf(_RESULT)
 def code_blocks(text: pd.Series, lang: pd.Series, style: pd.Series) -> pd.DataFrame:
     code = [mask(t, g) for t, g in zip(text, lang)]
-    return pd.DataFrame({"code": code, "ends": [block_ends(c, s) for c, s in zip(code, style)]})
+    return pd.DataFrame({"code": code, "ends": [block_ends(c, s) for c, s in zip(code, style)], "above": [comments_above(t) for t in text]})
+
+
+_NAME = re.compile(r"[A-Za-z_$][\w$]*\Z")
+_RECEIVER = re.compile(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*\Z")
+_STRING = re.compile(r"\"[^\"]*\"|'[^']*'|`[^`]*`")
+
+
+def _brackets(text: str) -> tuple[dict[int, int], dict[int, list[int]]]:
+    """Closing place of each bracket, and the commas directly inside it, in one scan."""
+    closing, commas, stack = {}, {}, []
+    for i, ch in enumerate(text):
+        if ch in "([{":
+            stack.append(i)
+            commas[i] = []
+        elif ch in ")]}" and stack:
+            closing[stack.pop()] = i
+        elif ch == "," and stack:
+            commas[stack[-1]].append(i)
+    return closing, commas
+
+
+def _parts(text: str, at: int, closing: dict[int, int], commas: dict[int, list[int]]) -> list[str]:
+    """Trimmed pieces between the commas of the bracket at a place."""
+    cuts = [at, *commas[at], closing[at]]
+    return [" ".join(text[a + 1 : b].split()) for a, b in zip(cuts, cuts[1:])]
+
+
+def _blanked(text: str) -> str:
+    """Same length, without the contents of strings."""
+    return _STRING.sub(lambda m: m[0][0] + "_" * (len(m[0]) - 2) + m[0][-1], text)
+
+
+def calls(text: str) -> list[dict]:
+    """Every call of a statement, nested ones included, with its receiver and arguments; brackets may nest to any depth."""
+    plain = _blanked(text)
+    closing, commas = _brackets(plain)
+    out = []
+    for at in sorted(closing):
+        start = at
+        while start and (plain[start - 1].isalnum() or plain[start - 1] in "_$.?"):
+            start -= 1
+        receiver, _, name = plain[start:at].rpartition(".")
+        receiver = receiver.replace("?", "").removeprefix("this.")
+        if plain[at] == "(" and _NAME.match(name):
+            args = _parts(text, at, closing, commas)
+            out.append({"receiver": receiver if _RECEIVER.match(receiver) else "", "name": name, "args": args if args != [""] else []})
+    return out
+
+
+_LAST_CALL = re.compile(r"\.(\w+)\Z")
+_NOT_SUM = re.compile(r"=>|^await\b|^['\"]")
+
+
+def operation(raw: str, methods: dict[str, str]) -> dict | None:
+    """The outermost arithmetic of an expression: operator, both sides, and the guard of a choice."""
+    plain = _blanked(raw)
+    closing, commas = _brackets(plain)
+    last = max((o for o, c in closing.items() if c == len(plain) - 1), default=-1)
+    m = _LAST_CALL.search(plain, 0, last) if last > 0 and plain[last] == "(" else None
+    if m and m[1] in methods and raw[: m.start()] not in ("", "BigDecimal"):
+        return {"op": methods[m[1]], "left": raw[: m.start()], "right": _parts(raw, last, closing, commas)[0], "guard": None}
+    if "=>" in plain:
+        return None
+    top, i = [], 0  # operators outside brackets
+    while i < len(plain):
+        if i in closing:
+            i = closing[i]
+        elif plain[i] in "?:+-*/%":
+            top.append(i)
+        i += 1
+    ask = next((i for i in top if plain[i] == "?" and plain[i + 1 : i + 2] not in (".", "?") and plain[i - 1 : i] != "?"), None)
+    other = next((i for i in top if ask is not None and i > ask and plain[i] == ":"), None)
+    if ask and other:
+        return {"op": "?:", "left": raw[ask + 1 : other].strip(), "right": raw[other + 1 :].strip(), "guard": " ".join(raw[:ask].split())}
+    if _NOT_SUM.search(plain):
+        return None
+    for signs, before in (("+-", ")]\"'_$"), ("*/%", ")]_$")):
+        for i in reversed(top):
+            left = plain[:i].rstrip()
+            if plain[i] in signs and left and (left[-1].isalnum() or left[-1] in before) and plain[i + 1 :].strip():
+                return {"op": "×" if plain[i] == "*" else plain[i], "left": raw[:i].strip(), "right": raw[i + 1 :].strip(), "guard": None}
+    return None
+
+
+_OPERATION = T.StructType([T.StructField(n, T.StringType()) for n in ("op", "left", "right", "guard")])
+
+
+def operation_udf(methods: dict[str, str]):
+    @F.pandas_udf(_OPERATION)
+    def run(raw: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([operation(r, methods) or {} if r else {} for r in raw], columns=["op", "left", "right", "guard"], dtype=object)
+
+    return run
+
+
+_CALLS = T.ArrayType(T.StructType([T.StructField("receiver", T.StringType()), T.StructField("name", T.StringType()), T.StructField("args", T.ArrayType(T.StringType()))]))
+
+
+@F.pandas_udf(_CALLS)
+def call_list(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: calls(t) if t else [])
 
 
 _IF = re.compile(r"^(?:\}\s*)?(else\s+)?if\s*\(", re.S)
@@ -129,12 +242,15 @@ def statements(text: str, code: str) -> list[tuple[int, str, str | None]]:
     out: list[tuple[int, str, str | None]] = []
     conds: list[str | None] = []
     start, depth, last_if = 0, 0, None
+    line, counted = 1, 0  # the line of the place up to which line breaks were counted
     braces: list[bool] = []  # True for a block, False for an object literal
 
     def emit(end: int) -> str:
-        nonlocal start, last_if
+        nonlocal start, last_if, line, counted
         raw, lead = text[start:end].strip(), len(code[start:end]) - len(code[start:end].lstrip())
-        at = code.count("\n", 0, start + lead) + 1
+        place = start + lead
+        line, counted = line + code.count("\n", counted, place), place
+        at = line
         cond, begin = (conds[-1] if conds else None), start
         start = end + 1
         head = code[begin:end].strip()
@@ -186,7 +302,7 @@ def statements(text: str, code: str) -> list[tuple[int, str, str | None]]:
             emit(i)
         elif ch == "\n" and depth == 0:
             head = code[start:i].rstrip()
-            ended = head.strip() and not _OPEN_TAIL.search(head) and not _CONTINUES.match(code[i:])
+            ended = head.strip() and not _OPEN_TAIL.search(head) and not _CONTINUES.match(code, i)
             # Without semicolons a complete line is a statement; annotations wait for what they mark.
             if ended and re.match(r"^\s*(?:const|let|var|return|await|import|export|[\w.]+\s*[+\-*/]?=[^=]|[\w.]+\()", head) and not re.search(r"\)\s*$", head[: head.find("(")] if "(" in head else ""):
                 emit(i)

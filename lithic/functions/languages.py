@@ -69,14 +69,14 @@ _L = r"(?m)^[ \t]*"
 _JVM_MOD = r"(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|private|protected|internal|static|final|abstract|synchronized|override|virtual|async|sealed|partial|default)\s+)*"
 _NOT_STMT = r"(?!return\b|new\b|else\b|throw\b|if\b|for\b|while\b|switch\b|catch\b|await\b|using\b|package\b|import\b)"
 _TYPED_FN = (
-    _L + _JVM_MOD + _NOT_STMT + r"(?:<[^>\n]+>\s*)?[A-Za-z_][\w.<>\[\],? ]*[\w>\]]\s+(?!if\b|for\b|while\b|switch\b|catch\b)(\w+)\s*\([^;{}()]*(?:\([^()]*\)[^;{}()]*)*\)\s*(?:throws\s+[\w., ]+)?\s*[{;]"
+    _L + _JVM_MOD + _NOT_STMT + r"(?:<[^>\n]+>\s*)?[A-Za-z_][\w.<>\[\],? ]*[\w>\]]\s+(?!if\b|for\b|while\b|switch\b|catch\b)(\w+)\s*\([^;{}()]*+(?:\([^()]*+\)[^;{}()]*+)*+\)\s*(?:throws\s+[\w., ]+)?\s*[{;]"
 )
 _CTOR = _L + r"(?:@\w+(?:\([^)]*\))?\s+)*(?:public|private|protected)\s+(\w+)\s*\([^;{}]*\)\s*(?:throws\s+[\w., ]+)?\s*\{"
 _JS_FN = _L + r"(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)"
 _JS_ARROW = _L + r"(?:export\s+)?(?:const|let|var)\s+(\w+)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:function\b|\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^=\n]+)?=>|\w+\s*=>)"
 _JS_METHOD = (
     r"(?m)^[ \t]+(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*\*?"
-    r"(?!if\b|for\b|while\b|switch\b|catch\b|function\b|return\b|with\b)(\w+)\s*\([^(){};]*(?:\([^()]*\)[^(){};]*)*\)\s*(?::\s*[^{;=\n]+)?\{"
+    r"(?!if\b|for\b|while\b|switch\b|catch\b|function\b|return\b|with\b)(\w+)\s*\([^(){};]*+(?:\([^()]*+\)[^(){};]*+)*+\)\s*(?::\s*[^{;=\n]+)?\{"
 )
 _JS_IMPORT = [r"(?m)^[ \t]*import\b[^;'\"`]*['\"][^'\"]+['\"]", r"\brequire\(\s*['\"][^'\"]+['\"]\s*\)"]
 _JS_BRANCH = r"\b(?:if|for|while|do|catch|else)\b|&&|\|\||\?\?|\s\?\s"
@@ -156,6 +156,7 @@ GRAMMARS = {
     ),
     "bash": Grammar("brace", [_L + r"(?:function\s+)?(\w+)\s*\(\)\s*\{"], [], [], r"\b(?:if|for|while|elif|else)\b|&&|\|\|"),
 }
+COMMENT_LINE = r"^\s*(//|#|\*|/\*)"
 CALL = r"(?<![\w$])(?<!\bnew\s)([A-Za-z_$][\w$]*)\s*\("
 # Words that look like a call but are not.
 NOT_CALLS = "if for while switch catch return function and or not in elif with lambda def class super await typeof sizeof assert using fn func match".split()

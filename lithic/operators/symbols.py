@@ -10,12 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lithic.functions.blocks import code_blocks
-from lithic.functions.languages import CALL, CODE_LANGUAGES, GRAMMARS, NOT_CALLS
+from lithic.functions.languages import CALL, CODE_LANGUAGES, COMMENT_LINE, GRAMMARS, NOT_CALLS
 from lithic.functions.rules import first_match
 from lithic.functions.text import squeeze
 from lithic.operators.scan import matches
 
-COMMENT_LINE = r"^\s*(//|#|\*|/\*)"
 DOC_MARKERS = r"(?m)/\*\*?|\*/|^\s*\*\s?|^\s*//\s?|^\s*#\s?"
 MAX_CALL = 80
 MAX_DOC = 400
@@ -36,6 +35,7 @@ def parse(files: DataFrame) -> DataFrame:
         *[c for c in files.columns],
         F.col("b.code").alias("code"),
         F.col("b.ends").alias("ends"),
+        F.col("b.above").alias("above"),
         F.split("text", "\n", -1).alias("lines"),
         F.split("b.code", "\n", -1).alias("code_lines"),
     )
@@ -43,10 +43,8 @@ def parse(files: DataFrame) -> DataFrame:
 
 def _doc_above(lines: Column, line: Column) -> Column:
     """Comment run directly above a line, markers removed, at most 400 characters."""
-    above = F.reverse(F.slice(lines, F.greatest(line - 40, F.lit(1)), F.least(line - 1, F.lit(40))))
-    plain = F.array_position(F.transform(above, lambda s: s.rlike(COMMENT_LINE)), F.lit(False)).cast("int")
-    run = F.reverse(F.slice(above, 1, F.when(plain == 0, F.size(above)).otherwise(plain - 1)))
-    text = squeeze(F.regexp_replace(F.array_join(run, "\n"), DOC_MARKERS, ""))
+    n = F.element_at(F.col("above"), line)
+    text = squeeze(F.regexp_replace(F.array_join(F.slice(lines, line - n, n), "\n"), DOC_MARKERS, ""))
     return F.when(F.length(text) > 0, F.substring(text, 1, MAX_DOC))
 
 
@@ -145,9 +143,10 @@ def imports(parsed: DataFrame, only: list[str] | None = None) -> DataFrame:
         for rx in g.imports:
             groups.setdefault(rx, []).append(lang)
     found = F.concat(*[matches(F.col("text"), rx, i, F.col("lang").isin(langs)) for i, (rx, langs) in enumerate(groups.items())])
-    raw = F.substring(squeeze(F.col("m.hit")), 1, MAX_RAW)
-    quoted = F.regexp_extract(raw, r"['\"<]([^'\"<>]+)['\">]", 1)
-    word = F.regexp_extract(raw, r"(?i)(?:from|import|use|using|require|alias)\s+(?:static\s+)?([\w./:\\-]+)", 1)
+    whole = squeeze(F.col("m.hit"))
+    raw = F.substring(whole, 1, MAX_RAW)
+    quoted = F.regexp_extract(whole, r"['\"<]([^'\"<>]+)['\">]", 1)
+    word = F.regexp_extract(whole, r"(?i)(?:from|import|use|using|require|alias)\s+(?:static\s+)?([\w./:\\-]+)", 1)
     return parsed.select(F.col("path").alias("file"), F.explode(found).alias("m")).select(
         "file",
         F.when(F.length(quoted) > 0, quoted).when(F.length(word) > 0, word).alias("source"),
@@ -165,7 +164,7 @@ def file_records(files: DataFrame, fns: DataFrame) -> DataFrame:
     lines = F.split("text", "\n", -1)
     sloc = F.size(F.filter(lines, lambda s: (F.trim(s) != "") & ~s.rlike(COMMENT_LINE)))
     is_code = F.col("lang").isin(list(CODE_LANGUAGES))
-    head = F.slice(lines, 1, 60)
+    head = lines
     plain = F.array_position(F.transform(head, lambda s: s.rlike(COMMENT_LINE)), F.lit(False)).cast("int")
     run = F.slice(head, 1, F.when(plain == 0, F.size(head)).otherwise(plain - 1))
     doc = squeeze(F.regexp_replace(F.array_join(run, "\n"), DOC_MARKERS, ""))

@@ -197,7 +197,7 @@ def communities(edges: DataFrame, rounds: int = 12, every: int = 3) -> DataFrame
     return label
 
 
-def layers(edges: DataFrame, max_rounds: int = 10000) -> DataFrame:
+def layers(edges: DataFrame) -> DataFrame:
     """(id, layer): longest distance from a source, by peeling nodes whose predecessors are all placed.
 
     Nodes on or behind a cycle are never peeled and do not appear.
@@ -207,7 +207,7 @@ def layers(edges: DataFrame, max_rounds: int = 10000) -> DataFrame:
     front, fresh = cut_counted(indeg.filter("need = 0").select("id", F.lit(0).alias("layer")))
     open_ = cut(indeg.filter("need > 0"))
     placed, k = [front], 0
-    while fresh and k < max_rounds:
+    while fresh:
         k += 1
         hit = front.join(e, front.id == e.src).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("h"))
         left = cut(open_.join(hit, "id", "left").select("id", (F.col("need") - F.coalesce("h", F.lit(0))).alias("need")))
@@ -240,7 +240,7 @@ def classify_component(n: Column, m: Column, max_degree: Column, dag: Column) ->
     )
 
 
-def ancestors(tree: DataFrame, max_depth: int = 16) -> DataFrame:
+def ancestors(tree: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(id, ancestor, depth) of a parent table (id, parent), the node itself at depth 0."""
     up = tree.filter(F.col("parent").isNotNull()).select(F.col("id").alias("src"), F.col("parent").alias("dst"))
     seeds = tree.select(F.col("id").alias("seed"), F.col("id").alias("node"))

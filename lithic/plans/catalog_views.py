@@ -239,7 +239,7 @@ def flow_steps(spark, sf):
 
 
 @query("nearest_line_attach", """with s as (select conv_id, turn from conversations where role = 'assistant'), u as (select conv_id, turn from conversations where role = 'user')
- select s.conv_id, s.turn, max(u.turn) as near from s join u on u.conv_id = s.conv_id and abs(u.turn - s.turn) <= 6 group by all""")
+ select s.conv_id, s.turn, coalesce(max(u.turn) filter (u.turn = s.turn), max(u.turn)) as near from s join u on u.conv_id = s.conv_id and abs(u.turn - s.turn) <= 6 group by all""")
 def nearest_line_attach(spark, sf):
     from lithic.operators.deep import attach_nearest
 

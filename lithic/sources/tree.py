@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,12 +47,15 @@ def classify(files: DataFrame) -> DataFrame:
     return files.withColumn("lang", language_of(p)).withColumn("meta", meta_of(p)).withColumn("ext", extension(p))
 
 
+def _below(path: Column, root: str) -> Column:
+    """The part of a path after the root folder; null where the root is not part of it."""
+    return F.get(F.split(path, re.escape(root.rstrip("/") + "/"), 2), F.lit(1))
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """(path, size) of every file under the root, relative to it; the content column is pruned."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    prefix = root.rstrip("/") + "/"
-    rel = F.element_at(F.split("path", prefix.replace(".", r"\."), 2), 2)
-    return raw.select(rel.alias("path"), F.col("length").alias("size"))
+    return raw.select(_below(F.col("path"), root).alias("path"), F.col("length").alias("size"))
 
 
 def skip_counts(files: DataFrame) -> DataFrame:
@@ -67,18 +72,17 @@ def skip_counts(files: DataFrame) -> DataFrame:
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
     """(path, size, lang, meta, ext, content, text) of the readable text files.
 
-    Size and path conditions sit on the file listing, so content is read only for files that pass.
+    Conditions on `_metadata` are evaluated on the file listing, so files in ignored folders, files of ignored kinds
+    and files above the size limit are never opened. Bytes that are not UTF-8 are replaced; files with a NUL byte are left out.
     """
-    raw = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        .filter(F.col("length") <= MAX_FILE_BYTES)
-        .filter(~base_name(F.col("path")).rlike(IGNORED_FILES))
-    )
-    prefix = root.rstrip("/") + "/"
-    rel = F.element_at(F.split("path", prefix.replace(".", r"\."), 2), 2)
-    files = raw.withColumn("path", rel).filter(~is_ignored_dir(F.col("path")))
-    text = F.decode("content", "UTF-8")
-    return classify(files.select("path", F.col("length").alias("size"), "content", text.alias("text"))).filter(~F.contains("text", F.lit("\x00")))
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    listed = F.col("_metadata.file_path")
+    inside = F.coalesce(_below(listed, root), base_name(listed))
+    kept = raw.filter(F.col("_metadata.file_size") <= MAX_FILE_BYTES).filter(~base_name(listed).rlike(IGNORED_FILES)).filter(~is_ignored_dir(inside))
+    files = kept.withColumn("path", _below(F.col("path"), root)).filter(~is_ignored_dir(F.col("path")))
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    files = files.filter(~F.contains("content", F.lit(b"\x00")))
+    return classify(files.select("path", F.col("length").alias("size"), "content", text.alias("text")))
 
 
 def scannable(files: DataFrame) -> DataFrame:
