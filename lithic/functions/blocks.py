@@ -36,31 +36,39 @@ def mask(text: str, lang: str) -> str:
 
 
 def _brace_ends(code: str) -> list[int]:
-    """End line of the first block, or of the plain statement, that begins on each line."""
-    events: list[tuple[int, str, int]] = []  # (line, kind, closing line)
+    """End line of the first block, or of the plain statement, that begins on each line.
+
+    A brace inside brackets that open on the line, as in a destructured parameter, gives way to a later one outside them.
+    """
+    events: list[tuple[int, int, int]] = []  # (line, open brackets, closing line)
     stack: list[int] = []
-    depth, row = 0, 1
+    depth, row, before = 0, 1, [0, 0]  # before: open brackets at the start of each line
     for m in re.finditer(r"[\n{}();]", code):
         ch = m.group(0)
         if ch == "\n":
             row += 1
+            before.append(depth)
         elif ch == "(":
             depth += 1
         elif ch == ")":
             depth = max(depth - 1, 0)
         elif ch == "{":
             stack.append(len(events))
-            events.append((row, "{", row))
+            events.append((row, depth, row))
         elif ch == "}" and stack:
             i = stack.pop()
-            events[i] = (events[i][0], "{", row)
+            events[i] = (*events[i][:2], row)
         elif ch == ";" and depth == 0:
-            events.append((row, ";", row))
+            events.append((row, 0, row))
     ends, i = [], 0
     for line in range(1, row + 1):
         while i < len(events) and events[i][0] < line:
             i += 1
-        ends.append(events[i][2] if i < len(events) else line)
+        j = i
+        while j < len(events) and events[j][0] == line and events[j][1] > before[line]:
+            j += 1
+        best = j if j < len(events) and events[j][0] == line else i
+        ends.append(events[best][2] if best < len(events) else line)
     return ends
 
 

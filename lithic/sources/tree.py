@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,7 +78,7 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     listed = F.col("_metadata.file_path")
-    inside = F.coalesce(_below(listed, root), base_name(listed))
+    inside = F.coalesce(_below(listed, quote(root, safe="/:+@!$&'()*,;=~")), base_name(listed))  # listed paths are percent-encoded
     kept = raw.filter(F.col("_metadata.file_size") <= MAX_FILE_BYTES).filter(~base_name(listed).rlike(IGNORED_FILES)).filter(~is_ignored_dir(inside))
     files = kept.withColumn("path", _below(F.col("path"), root)).filter(~is_ignored_dir(F.col("path")))
     text = F.make_valid_utf8(F.col("content").cast("string"))
