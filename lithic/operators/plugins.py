@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithic.functions.text import base_name
+from lithic.session import cut
 
 Catalog = dict[str, DataFrame]
 # The shape of every contribution.
@@ -87,13 +88,17 @@ class Registry:
         return [{"id": p.id, "label": p.label, "description": p.description} for p in self.plugins]
 
     def run(self, spark, catalog: Catalog) -> Result:
-        """Merge the contributions; a plugin that fails is recorded and skipped."""
+        """Merge the contributions; a plugin that fails, while planning or while running, is recorded and skipped.
+
+        Each contribution is written before it is merged, so a late failure cannot reach what others gave.
+        """
         out = Result({name: spark.createDataFrame([], ddl) for name, ddl in SHAPES.items()})
         for p in self.plugins:
             try:
                 if not p.applies_to(catalog):
                     continue
-                for name, df in p.contribute(catalog).items():
+                given = {name: cut(df) for name, df in p.contribute(catalog).items()}
+                for name, df in given.items():
                     out.relations[name] = out.relations[name].unionByName(df, allowMissingColumns=True)
                 out.ran.append({"id": p.id, "label": p.label})
             except Exception as e:  # one plugin must not stop the others

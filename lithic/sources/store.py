@@ -43,9 +43,15 @@ class Store:
         return self.load(name)
 
     def save_all(self, relations: dict[str, DataFrame]) -> None:
+        """Store every relation; one that fails while it is computed is logged and left out."""
+        saved = []
         for name, df in relations.items():
-            self.save(name, df)
-        self.log("index", {"relations": sorted(relations)})
+            try:
+                self.save(name, df)
+                saved.append(name)
+            except Exception as e:  # one relation must not stop the others
+                self.log("failed", {"relation": name, "error": str(e).splitlines()[0]})
+        self.log("index", {"relations": sorted(saved)})
 
     # history: append-only
     def log(self, event: str, detail: dict) -> None:
