@@ -89,12 +89,19 @@ def duplicate_blocks(functions: DataFrame, limit: int | None = DUPLICATE_BLOCK_L
     return out.orderBy(F.desc("occurrences"), "name", "loc", "complexity", "first_file").limit(limit) if limit else out
 
 
+def layered(imports: DataFrame) -> DataFrame:
+    """(file, resolved, a, b): resolved imports with the layers of both files; the classifier runs once per file."""
+    links = imports.filter(F.col("resolved").isNotNull()).select("file", "resolved")
+    paths = links.select(F.explode(F.array("file", "resolved")).alias("path")).distinct().withColumn("layer", rules.layer_of(F.col("path")))
+    return links.join(paths.select(F.col("path").alias("file"), F.col("layer").alias("a")), "file").join(
+        paths.select(F.col("path").alias("resolved"), F.col("layer").alias("b")), "resolved"
+    )
+
+
 def layer_violations(imports: DataFrame) -> DataFrame:
     """(from, to, rule): views that reach into data or endpoints, and data that reaches into views."""
-    a, b = rules.layer_of(F.col("file")), rules.layer_of(F.col("resolved"))
     return (
-        imports.filter(F.col("resolved").isNotNull())
-        .select(F.col("file").alias("from"), F.col("resolved").alias("to"), a.alias("a"), b.alias("b"))
+        layered(imports).select(F.col("file").alias("from"), F.col("resolved").alias("to"), "a", "b")
         .select(
             "from", "to",
             F.when((F.col("a") == "ui") & F.col("b").isin("data", "api"), F.concat(F.lit("ui imports "), F.col("b")))

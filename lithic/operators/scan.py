@@ -15,31 +15,21 @@ from lithic.functions import rules
 from lithic.functions.patterns import Pattern
 from lithic.functions.text import extension, redact
 
+_MARK = "\ue000"
 _MATCH = "array<struct<spec:int,line:bigint,hit:string>>"
 
 
-def _newlines(s: Column) -> Column:
-    return (F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))).cast("bigint")
-
-
 def matches(text: Column, regex: str, spec: int, when: Column | None = None) -> Column:
-    """array<struct<spec, line, hit>> of all matches of one pattern."""
-    pieces = F.zip_with(
-        F.split(text, regex, -1),
-        F.regexp_extract_all(text, F.lit(regex), F.lit(0)),
-        lambda before, hit: F.struct(before.alias("before"), hit.alias("hit")),
-    )
-    start = F.struct(F.lit(1).cast("bigint").alias("line"), F.array().cast(_MATCH).alias("out"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        at = acc["line"] + _newlines(piece["before"])
-        found = F.array(F.struct(F.lit(spec).alias("spec"), at.alias("line"), piece["hit"].alias("hit")))
-        return F.when(piece["hit"].isNull(), acc).otherwise(
-            F.struct((at + _newlines(piece["hit"])).alias("line"), F.concat(acc["out"], found).alias("out"))
-        )
-
+    """array<struct<spec, line, hit>> of all matches of one pattern.
+
+    A mark is put before each match; the lines that hold marks then give the matches their lines, in one pass.
+    """
+    marked = F.split(F.regexp_replace(F.translate(text, _MARK, " "), regex, f"{_MARK}$0"), "\n", -1)
+    marks = lambda row: F.length(row) - F.length(F.translate(row, _MARK, ""))
+    lines = F.flatten(F.transform(marked, lambda row, i: F.array_repeat((i + 1).cast("bigint"), marks(row))))
+    found = F.zip_with(lines, F.regexp_extract_all(text, F.lit(regex), F.lit(0)), lambda at, hit: F.struct(F.lit(spec).alias("spec"), at.alias("line"), hit.alias("hit")))
     present = text.rlike(regex) if when is None else when & text.rlike(regex)
-    return F.when(present, F.aggregate(pieces, start, step, lambda a: a["out"])).otherwise(F.array().cast(_MATCH))
+    return F.when(present, found).otherwise(F.array().cast(_MATCH))
 
 
 def scan(files: DataFrame, specs: list[tuple[str, Column | None]], text: str = "text") -> DataFrame:

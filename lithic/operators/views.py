@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lithic.functions import rules
 from lithic.functions.text import base_name, dir_name, lc
 from lithic.operators import traverse as G
+from lithic.operators.quality import layered
 from lithic.operators.relations import table_users
 
 # List lengths.
@@ -95,10 +96,8 @@ def class_methods(classes: DataFrame, functions: DataFrame) -> DataFrame:
 
 
 def layer_matrix(imports: DataFrame) -> DataFrame:
-    """(source, target, weight): imports between different layers. The classifier runs per distinct pair sum."""
-    e = imports.filter(F.col("resolved").isNotNull()).select(
-        rules.layer_of(F.col("file")).alias("source"), rules.layer_of(F.col("resolved")).alias("target")
-    )
+    """(source, target, weight): imports between different layers."""
+    e = layered(imports).select(F.col("a").alias("source"), F.col("b").alias("target"))
     return e.filter("source <> target").groupBy("source", "target").agg(F.count("*").alias("weight"))
 
 
