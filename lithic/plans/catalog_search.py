@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lithic.operators import search as S
 from lithic.plans.registry import query
 from lithic.plans.warehouse import Warehouse, oracle
+from lithic.session import cut
 
 
 def document_items(w: Warehouse):
@@ -53,6 +54,12 @@ def doc_semantic_search(spark, sf):
     return S.semantic_search(document_items(Warehouse(spark, sf)), _Q)
 
 
+@query("doc_index_search", _VEC_Q + " select * from hits order by score desc, id limit 20")
+def doc_index_search(spark, sf):
+    """The same search from the written index, which does not touch the texts again."""
+    return S.index_search(cut(S.embedding_index(document_items(Warehouse(spark, sf)))), _Q)
+
+
 @query("doc_semantic_search_typed", _VEC_Q + " select * from hits where type = 'fr' order by score desc, id limit 20")
 def doc_semantic_search_typed(spark, sf):
     return S.semantic_search(document_items(Warehouse(spark, sf)), _Q, kind="fr")

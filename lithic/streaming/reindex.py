@@ -51,31 +51,30 @@ def reindex(store: Store, files: DataFrame) -> dict[str, int]:
 
 
 def watch(spark: SparkSession, source: str, store: Store, checkpoint: str, lateness: str = "1 hour"):
-    """Stream of (path, size, text, at) records, newest version of a path per batch merged into the store.
+    """Stream of (path, size, text, at) records, merged into the store by path; a null text means that the file is gone.
 
-    A version older than the watermark is dropped; replays are harmless because the hash decides.
+    The snapshot keeps the time of the version it holds, of deleted files too, so a version that arrives after a
+    newer one changes nothing, in whatever batch it comes. Replays are harmless for the same reason.
     """
     stream = spark.readStream.schema(FILE_SCHEMA).parquet(source).withWatermark("at", lateness).dropDuplicatesWithinWatermark(["path", "at"])
 
     def merge(batch: DataFrame, _: int) -> None:
-        newest = batch.groupBy("path").agg(F.max_by(F.struct("size", "text"), "at").alias("v")).select("path", "v.size", "v.text")
-        newest = cut(newest.withColumn("hash", F.substring(F.sha1("text"), 1, 16)))
-        if store.exists(SNAPSHOT):
-            known = cut(store.load(SNAPSHOT))
-            fresh = newest.join(known, ["path", "hash"], "left_anti")
-            kept = known.join(newest.select("path"), "path", "left_anti")
-        else:
-            fresh, kept = newest, spark.createDataFrame([], "path string, hash string")
-        fresh = cut(fresh)
-        if fresh.isEmpty():
-            return
-        fns, records = (cut(df) for df in _records(fresh))
-        if store.exists("files"):
-            _replace(store, "functions", "file", fresh, fns)
-            _replace(store, "files", "path", fresh, records)
-        else:
-            store.save("functions", fns)
-            store.save("files", records)
-        store.save(SNAPSHOT, cut(kept.unionByName(newest.select("path", "hash"))))
+        newest = batch.groupBy("path").agg(F.max_by(F.struct("size", "text", "at"), "at").alias("v")).select("path", "v.*")
+        newest = newest.withColumn("hash", F.substring(F.sha1("text"), 1, 16))
+        none = spark.createDataFrame([], "path string, hash string, at timestamp")
+        known = none.unionByName(cut(store.load(SNAPSHOT)) if store.exists(SNAPSHOT) else none, allowMissingColumns=True).select("path", "hash", "at")
+        before = known.select("path", F.col("hash").alias("old_hash"), F.col("at").alias("old_at"))
+        newer = cut(newest.join(before, "path", "left").filter(F.col("old_at").isNull() | (F.col("at") > F.col("old_at"))))
+        touched = cut(newer.filter(~F.col("hash").eqNullSafe(F.col("old_hash"))).select("path", "size", "text"))
+        if not touched.isEmpty():
+            fns, records = (cut(df) for df in _records(touched.filter("text is not null")))
+            if store.exists("files"):
+                _replace(store, "functions", "file", touched, fns)
+                _replace(store, "files", "path", touched, records)
+            else:
+                store.save("functions", fns)
+                store.save("files", records)
+        kept = known.join(newer.select("path"), "path", "left_anti")
+        store.save(SNAPSHOT, cut(kept.unionByName(newer.select("path", "hash", "at"))))
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -129,3 +129,19 @@ def test_stream_merges_newest_version(spark, tmp_path):
     write([row("three", "2024-01-01 00:20:00")])
     reindex.watch(spark, src, store, str(tmp_path / "cp")).awaitTermination()
     assert col(store.load("functions"), "name") == {"three"} and store.load("hashes").count() == 1
+
+
+def test_stream_ignores_late_versions_and_drops_deleted_files(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), "r4")
+    src = str(tmp_path / "in")
+
+    def arrive(*rows):
+        full = [(p, 10, None if name is None else f"def {name}():\n    pass\n", at) for p, name, at in rows]
+        spark.createDataFrame(full, "path string, size bigint, text string, at string").withColumn("at", F.to_timestamp("at")).write.mode("append").parquet(src)
+        reindex.watch(spark, src, store, str(tmp_path / "cp"), "10 days").awaitTermination()
+        return col(store.load("functions"), "name")
+
+    assert arrive(("a.py", "new", "2024-01-02 00:00:00"), ("b.py", "other", "2024-01-02 00:00:00")) == {"new", "other"}
+    assert arrive(("a.py", "old", "2024-01-01 00:00:00")) == {"new", "other"}
+    assert arrive(("b.py", None, "2024-01-03 00:00:00")) == {"new"}
+    assert arrive(("b.py", "late", "2024-01-02 12:00:00")) == {"new"} and "b.py" not in col(store.load("files"), "path")
