@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-Q = "[`'\"]"  # any quote character
-NQ = "[^`'\"]"  # anything but a quote
-
 
 @dataclass(frozen=True)
 class Pattern:
@@ -20,20 +17,20 @@ class Pattern:
 
 # HTTP routes. Groups name the captured method and path.
 ROUTES = [
-    Pattern("express", rf"(?i)\b(?:app|router|route|api|server|fastify)\.(get|post|put|patch|delete|options|head|all)\s*\(\s*{Q}({NQ}+){Q}", {"method": 1, "path": 2}),
-    Pattern("python-web", rf"(?i)@(?:app|router|blueprint|bp)\.(get|post|put|patch|delete|route)\s*\(\s*{Q}({NQ}+){Q}", {"method": 1, "path": 2}),
-    Pattern("spring", rf"@(Get|Post|Put|Patch|Delete|Request)Mapping\s*\(\s*(?:value\s*=\s*)?{Q}({NQ}+){Q}", {"method": 1, "path": 2}),
-    Pattern("go-http", rf"\.(HandleFunc|Handle|Get|Post|Put|Patch|Delete)\s*\(\s*{Q}({NQ}+){Q}", {"method": 1, "path": 2}),
-    Pattern("rails", rf"(?im)^\s*(get|post|put|patch|delete)\s+{Q}({NQ}+){Q}", {"method": 1, "path": 2}),
-    Pattern("laravel", rf"Route::(get|post|put|patch|delete|any|match)\s*\(\s*{Q}({NQ}+){Q}", {"method": 1, "path": 2}),
-    Pattern("aspnet", rf"\[Http(Get|Post|Put|Patch|Delete)\s*\(\s*{Q}({NQ}+){Q}", {"method": 1, "path": 2}),
-    Pattern("django", rf"\b(?:path|re_path|url)\s*\(\s*{Q}({NQ}*){Q}\s*,", {"path": 1}),
+    Pattern("express", r"(?i)\b(?:app|router|route|api|server|fastify)\.(get|post|put|patch|delete|options|head|all)\s*\(\s*[`'\"]([^`'\"]+)[`'\"]", {"method": 1, "path": 2}),
+    Pattern("python-web", r"(?i)@(?:app|router|blueprint|bp)\.(get|post|put|patch|delete|route)\s*\(\s*[`'\"]([^`'\"]+)[`'\"]", {"method": 1, "path": 2}),
+    Pattern("spring", r"@(Get|Post|Put|Patch|Delete|Request)Mapping\s*\(\s*(?:value\s*=\s*)?[`'\"]([^`'\"]+)[`'\"]", {"method": 1, "path": 2}),
+    Pattern("go-http", r"\.(HandleFunc|Handle|Get|Post|Put|Patch|Delete)\s*\(\s*[`'\"]([^`'\"]+)[`'\"]", {"method": 1, "path": 2}),
+    Pattern("rails", r"(?im)^\s*(get|post|put|patch|delete)\s+[`'\"]([^`'\"]+)[`'\"]", {"method": 1, "path": 2}),
+    Pattern("laravel", r"Route::(get|post|put|patch|delete|any|match)\s*\(\s*[`'\"]([^`'\"]+)[`'\"]", {"method": 1, "path": 2}),
+    Pattern("aspnet", r"\[Http(Get|Post|Put|Patch|Delete)\s*\(\s*[`'\"]([^`'\"]+)[`'\"]", {"method": 1, "path": 2}),
+    Pattern("django", r"\b(?:path|re_path|url)\s*\(\s*[`'\"]([^`'\"]*)[`'\"]\s*,", {"path": 1}),
 ]
 EXPORTED_VERB = r"export\s+(?:async\s+)?(?:function|const)\s+(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\b"
 
 # Database access through mappers; `needs` must occur somewhere in the file.
 DB = [
-    Pattern("supabase/query", rf"\.from\s*\(\s*{Q}([a-zA-Z_][\w.]*){Q}\s*\)", {"table": 1}, needs=r"supabase|createClient|\.select\(|\.insert\(|\.upsert\("),
+    Pattern("supabase/query", r"\.from\s*\(\s*[`'\"]([a-zA-Z_][\w.]*)[`'\"]\s*\)", {"table": 1}, needs=r"supabase|createClient|\.select\(|\.insert\(|\.upsert\("),
     Pattern("prisma", r"\bprisma\.([a-zA-Z_]\w*)\.(findMany|findFirst|findUnique|create|createMany|update|updateMany|delete|deleteMany|upsert|count|aggregate)", {"table": 1, "op": 2}),
     Pattern("drizzle", r"\bdb\.(?:select|insert|update|delete)\([\s\S]{0,40}?\.from\(\s*([a-zA-Z_]\w*)", {"table": 1}),
     Pattern("django-orm", r"\b([A-Z]\w*)\.objects\.(all|filter|get|create|update|delete|exclude|values)\b", {"table": 1, "op": 2}, needs=r"models|django"),
@@ -41,7 +38,7 @@ DB = [
 ]
 SQL_DDL = Pattern("ddl-table", r"(?i)create\s+table\s+(?:if\s+not\s+exists\s+)?[\"`']?([a-zA-Z_][\w.]*)[\"`']?\s*\(", {"table": 1})
 SQL_DML = Pattern("sql", r"(?i)\b(?:from|into|update|join)\s+[\"`']?([a-zA-Z_][\w.]*)", {"table": 1})
-SQL_IN_STRING = Pattern("sql", rf"(?i){Q}\s*(?:SELECT\s+[\s\S]{{0,200}}?\bFROM|INSERT\s+INTO|UPDATE|DELETE\s+FROM)\s+[\"`']?([a-zA-Z_][\w.]*)", {"table": 1}, needs=r"(?i)select|insert|update|delete")
+SQL_IN_STRING = Pattern("sql", r"(?i)[`'\"]\s*(?:SELECT\s+[\s\S]{0,200}?\bFROM|INSERT\s+INTO|UPDATE|DELETE\s+FROM)\s+[\"`']?([a-zA-Z_][\w.]*)", {"table": 1}, needs=r"(?i)select|insert|update|delete")
 DB_STOP = r"(?i)^(the|a|an|select|where|await|if|for|this|self|result|res|data|item|value|Object|Array|Promise|Math|JSON|String|Number|Boolean|Error)$"
 DML_STOP = r"(?i)^(select|where|the|dual)$"
 SQL_STRING_STOP = r"(?i)^(select|where|dual)$"
@@ -49,14 +46,14 @@ SQL_STRING_STOP = r"(?i)^(select|where|dual)$"
 # Environment variables, first capture is the name.
 ENV = [
     r"process\.env\.([A-Z_][A-Z0-9_]*)",
-    rf"process\.env\[{Q}([A-Z_][A-Z0-9_]*){Q}\]",
+    r"process\.env\[[`'\"]([A-Z_][A-Z0-9_]*)[`'\"]\]",
     r"os\.environ(?:\.get)?\[?[`'\"(]\s*[`'\"]?([A-Z_][A-Z0-9_]*)",
-    rf"os\.getenv\(\s*{Q}([A-Z_][A-Z0-9_]*)",
-    rf"System\.getenv\(\s*{Q}([A-Z_][A-Z0-9_]*)",
-    rf"ENV\[{Q}([A-Z_][A-Z0-9_]*){Q}\]",
-    rf"os\.Getenv\(\s*{Q}([A-Z_][A-Z0-9_]*)",
-    rf"std::env::var\(\s*{Q}([A-Z_][A-Z0-9_]*)",
-    rf"getenv\(\s*{Q}([A-Z_][A-Z0-9_]*)",
+    r"os\.getenv\(\s*[`'\"]([A-Z_][A-Z0-9_]*)",
+    r"System\.getenv\(\s*[`'\"]([A-Z_][A-Z0-9_]*)",
+    r"ENV\[[`'\"]([A-Z_][A-Z0-9_]*)[`'\"]\]",
+    r"os\.Getenv\(\s*[`'\"]([A-Z_][A-Z0-9_]*)",
+    r"std::env::var\(\s*[`'\"]([A-Z_][A-Z0-9_]*)",
+    r"getenv\(\s*[`'\"]([A-Z_][A-Z0-9_]*)",
 ]
 
 # Secrets.
@@ -69,24 +66,24 @@ SECRETS = [
     Pattern("OpenAI-style secret key", r"\bsk-[A-Za-z0-9]{20,}\b", severity="high"),
     Pattern("Google API key", r"\bAIza[0-9A-Za-z_\-]{35}\b", severity="medium"),
     Pattern("JWT (hardcoded)", r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b", severity="medium"),
-    Pattern("Hardcoded credential", rf"(?i)(?:password|passwd|pwd|secret|api[_-]?key|token|access[_-]?key)\s*[:=]\s*{Q}[^`'\"\s]{{8,}}{Q}", severity="medium"),
+    Pattern("Hardcoded credential", r"(?i)(?:password|passwd|pwd|secret|api[_-]?key|token|access[_-]?key)\s*[:=]\s*[`'\"][^`'\"\s]{8,}[`'\"]", severity="medium"),
 ]
 # Dangerous calls.
 DANGEROUS = [
     Pattern("eval() use", r"\beval\s*\(", severity="medium", category="code-exec"),
     Pattern("shell/command execution", r"\bexec\s*\(|child_process|subprocess\.(call|run|Popen)|os\.system\(", severity="medium", category="command-exec"),
     Pattern("Potential XSS sink", r"dangerouslySetInnerHTML|\.innerHTML\s*=|v-html|document\.write\(", severity="medium", category="xss"),
-    Pattern("Possible SQL string interpolation (injection)", rf"(?:query|execute)\s*\(\s*{Q}{NQ}*(?:\$\{{|\+\s*\w+|%s|%d)", severity="medium", category="sql-injection"),
+    Pattern("Possible SQL string interpolation (injection)", r"(?:query|execute)\s*\(\s*[`'\"][^`'\"]*(?:\$\{|\+\s*\w+|%s|%d)", severity="medium", category="sql-injection"),
     Pattern("TLS verification disabled", r"verify\s*:\s*false|rejectUnauthorized\s*:\s*false|InsecureSkipVerify\s*:\s*true|verify=False", severity="high", category="tls"),
-    Pattern("Weak hash (MD5/SHA1)", rf"(?i)md5\(|sha1\(|hashlib\.md5|MessageDigest\.getInstance\(\s*{Q}MD5", severity="low", category="crypto"),
+    Pattern("Weak hash (MD5/SHA1)", r"(?i)md5\(|sha1\(|hashlib\.md5|MessageDigest\.getInstance\(\s*[`'\"]MD5", severity="low", category="crypto"),
 ]
 EXAMPLE_FILE = r"\.example$|\.sample$|\.template$"
 
 # Background jobs.
 JOBS = [
-    Pattern("cron", rf"cron\.schedule\s*\(\s*{Q}({NQ}+)", {"detail": 1}),
+    Pattern("cron", r"cron\.schedule\s*\(\s*[`'\"]([^`'\"]+)", {"detail": 1}),
     Pattern("scheduled", r"@(Scheduled|Cron)\s*\("),
-    Pattern("queue-worker", rf"new\s+(Worker|Queue|Bull|Bee)\s*\(\s*{Q}?([\w-]*)", {"detail": 2}),
+    Pattern("queue-worker", r"new\s+(Worker|Queue|Bull|Bee)\s*\(\s*[`'\"]?([\w-]*)", {"detail": 2}),
     Pattern("celery-task", r"celery\.task|@(?:app\.)?task\b|@shared_task"),
     Pattern("job", r"(?i)@(?:repeatable_)?(?:job|task)\b|sidekiq|ActiveJob"),
     Pattern("timer", r"setInterval\s*\(|setTimeout\s*\([^,]+,\s*\d{4,}"),
