@@ -32,18 +32,18 @@ from lithic.llm.common import blobs
 
 LENGTH, GRAM = 50, 24
 PART_BYTES, CHUNK_BYTES, SHARD_BYTES, HOT = 4 << 20, 1 << 20, 2 << 20, 50_000
+#: A run has at most LENGTH - GRAM + 1 windows, so its bytes are counted in one byte.
 _BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    size = 1 << max(12, n.bit_length())
-    if size not in _POWERS:
-        _POWERS.clear()
-        for_base = lambda b: np.cumprod(np.r_[np.uint64(1), np.full(size, b, np.uint64)], dtype=np.uint64)
-        _POWERS[size] = for_base(_BASE), for_base(pow(_BASE, -1, 1 << 64))
-    return _POWERS[size]
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers 0 to n, or more, of the base and of its inverse modulo 2^64."""
+    if len(_POWERS[0]) <= n:
+        size = 1 << max(16, n.bit_length())
+        for i, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _POWERS[i] = np.cumprod(np.r_[np.uint64(1), np.full(size, b, np.uint64)], dtype=np.uint64)
+    return _POWERS
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
@@ -135,28 +135,37 @@ def expand(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     symbols, and only intervals that end at a new boundary are extended further.
     """
     n = len(text)
-    rank, depth = np.zeros(n, np.int64), 7
+    key, depth = np.zeros(n, np.int64), 7
     for i in range(depth):
-        rank = rank << 9 | np.roll(text, -i)
-    rank = np.unique(rank, return_inverse=True)[1]
+        key = key << 9 | np.roll(text, -i)
+    order = np.argsort(key).astype(np.int32)
+    key = key[order]
+    new, rows = np.r_[True, key[1:] != key[:-1]], np.arange(n, dtype=np.int32)
+    rank = np.empty(n, np.int32)  # first row of the class of each rotation
+    rank[order] = np.maximum.accumulate(np.where(new, rows, 0))
     while depth < length:
-        rank = np.unique(rank * n + np.roll(rank, -depth), return_inverse=True)[1]
+        open_ = np.flatnonzero(~(new & np.r_[new[1:], True]))  # rows whose class is not single yet
+        part = order[open_]
+        key = rank[part].astype(np.int64) * n + rank[(part.astype(np.int64) + depth) % n]
+        sort = np.argsort(key)
+        key, order[open_] = key[sort], part[sort]
+        new[open_[1:]] |= key[1:] != key[:-1]
+        rank[order[open_]] = np.maximum.accumulate(np.where(new[open_], open_, 0))
         depth *= 2
-    order = np.argsort(rank, kind="stable")
-    row_of = np.empty(n, np.int64)
-    row_of[order] = np.arange(n)
+    row_of = np.empty(n, np.int32)
+    row_of[order] = rows
     back = row_of[order - 1]  # the row of the rotation that starts one symbol earlier
-    first_symbol = text[order]
+    first_symbol = text[order].astype(np.int16)
     boundary = np.zeros(n + 1, bool)
     boundary[[0, n]] = True
-    low, high = np.array([0]), np.array([n])
+    low, high, owner_of = np.array([0]), np.array([n]), np.empty(n, np.int32)
     for _ in range(length):
-        owner_of = np.full(n, -1, np.int64)
-        owner_of[back[ranges(low, high - low)]] = np.repeat(np.arange(len(low)), high - low)
-        target = np.flatnonzero(owner_of >= 0)
+        target = back[ranges(low, high - low)]
+        owner_of[target] = np.repeat(np.arange(len(low), dtype=np.int32), high - low)
+        target = np.sort(target)
         owner, symbol = owner_of[target], first_symbol[target]
         cuts = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (symbol[1:] != symbol[:-1])])
-        first, last = target[cuts], target[np.r_[cuts[1:], len(target)] - 1] + 1
+        first, last = target[cuts].astype(np.int64), target[np.r_[cuts[1:], len(target)] - 1].astype(np.int64) + 1
         fresh = ~boundary[last]
         boundary[last[fresh]] = True
         low, high = first[fresh], last[fresh]
@@ -209,7 +218,7 @@ def _dealt(keys: np.ndarray, ways: int) -> Iterator[tuple[int, np.ndarray]]:
 
 _ASKED = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("names", pa.binary()), ("seen", pa.binary())])
 _SHARED = pa.schema([("part", pa.int64()), ("names", pa.binary()), ("hot", pa.binary())])
-_SENT = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("low", pa.binary()), ("high", pa.binary()), ("size", pa.binary()), ("name", pa.binary()), ("hash", pa.binary()), ("bytes", pa.binary())])
+_SENT = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("low", pa.binary()), ("high", pa.binary()), ("size", pa.binary()), ("name", pa.binary()), ("bytes", pa.binary())])
 _FOUND = pa.schema([("part", pa.int64()), ("hash", pa.binary()), ("name", pa.binary()), ("windows", pa.binary()), ("first", pa.binary())])
 _DONE = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64()))])
 #: Marks the name of a run that is sent as single windows.
@@ -267,19 +276,20 @@ def _send(texts: pa.Table, answers: pa.Table, shards: int) -> pa.Table:
             single = group is not runs
             for way, mine in _dealt(once if single else group.name[some[first]], shards):
                 raw, size = group.bytes_of(some[first[mine]])
-                name = group.name[some[first[mine]]] | (SINGLE if single else np.uint64(0))
-                out.append((part, way, low[mine].tobytes(), high[mine].tobytes(), size.astype(np.int32).tobytes(), name.tobytes(), once[mine].tobytes(), raw))
+                name = group.name[some[first[mine]]] | SINGLE if single else np.zeros(len(mine), np.uint64)
+                out.append((part, way, low[mine].tobytes(), high[mine].tobytes(), size.astype(np.uint8).tobytes(), name.tobytes(), raw))
     return _table(out, _SENT)
 
 
 def _solve(table: pa.Table) -> pa.Table:
-    low, high, size = _joined(table, "low", np.int64), _joined(table, "high", np.int64), _joined(table, "size", np.int32).astype(np.int64)
-    name, content, raw = _joined(table, "name", np.uint64), _joined(table, "hash", np.uint64), _joined(table, "bytes", np.uint8)
+    low, high, size = _joined(table, "low", np.int64), _joined(table, "high", np.int64), _joined(table, "size", np.uint8).astype(np.int64)
+    name, raw = _joined(table, "name", np.uint64), _joined(table, "bytes", np.uint8)
+    ends = np.cumsum(size)
+    content = substring_hash(prefix_sums(raw), ends - size, ends)
     _, pick, back = np.unique(content, return_index=True, return_inverse=True)
     smallest = np.full(len(pick), np.iinfo(np.int64).max)
     np.minimum.at(smallest, back, low)
-    begin = np.cumsum(size) - size
-    firsts = first_documents(raw[ranges(begin[pick], size[pick])], size[pick], smallest)
+    firsts = first_documents(raw[ranges((ends - size)[pick], size[pick])], size[pick], smallest)
     windows = size[pick] - LENGTH + 1
     piece = np.repeat(np.arange(len(pick)), windows)
     lowest = np.minimum.reduceat(firsts, np.cumsum(windows) - windows)
@@ -293,14 +303,14 @@ def _solve(table: pa.Table) -> pa.Table:
         if len(mine):
             n = run_at[back[mine] + 1] - run_at[back[mine]]
             at = ranges(run_at[back[mine]], n)
-            out.append((part, np.repeat(content[mine], n).tobytes(), np.repeat(name[mine], n).tobytes(), width[at].astype(np.int32).tobytes(), value[at].tobytes()))
+            out.append((part, np.repeat(content[mine], n).tobytes(), np.repeat(name[mine], n).tobytes(), width[at].astype(np.uint8).tobytes(), value[at].tobytes()))
     return _table(out, _FOUND)
 
 
 def _remove(texts: pa.Table, answers: pa.Table) -> pa.Table:
     rows = _rows_of(texts) if texts.num_rows else []
     documents = np.array([d for d, _ in rows], np.int64)
-    hashes, name, width, value = (_joined(answers, c, k) for c, k in (("hash", np.uint64), ("name", np.uint64), ("windows", np.int32), ("first", np.int64)))
+    hashes, name, width, value = (_joined(answers, c, k) for c, k in (("hash", np.uint64), ("name", np.uint64), ("windows", np.uint8), ("first", np.int64)))
     hot = np.unique(name[name >= SINGLE] - SINGLE)
     order = np.argsort(hashes, kind="stable")
     hashes, width, value = hashes[order], width[order].astype(np.int64), value[order]
@@ -352,7 +362,7 @@ def deduplicate(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     texts = known.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).alias("part"))
     asked = texts.groupBy("part").applyInArrow(lambda t: _ask(t, parts), _ddl(_ASKED))
     shared = asked.groupBy("bucket").applyInArrow(_answer, _ddl(_SHARED))
-    sent = texts.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(lambda t, a: _send(t, a, parts), _ddl(_SENT))
+    sent = texts.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(lambda t, a: _send(t, a, 2 * parts), _ddl(_SENT))
     found = sent.groupBy("shard").applyInArrow(_solve, _ddl(_FOUND))
     done = texts.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_remove, _ddl(_DONE))
     whole = rows.filter("doc_id is null").select(
