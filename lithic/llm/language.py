@@ -133,9 +133,12 @@ class Scorer:
 def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Trees | None:
     """Context trees of all languages found in `lang`; None if there is none."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    share = rows.groupBy("lang").count().select("lang", F.least(F.lit(1.0), train_docs / F.col("count")).alias("share"))
+    counts = rows.groupBy("lang").count().collect()  # one row per language, as in the model itself
+    if not counts:
+        return None
+    share = F.element_at(F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, train_docs / r["count"])))), F.col("lang"))
     lot = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) / 1e6
-    sample = rows.join(share, "lang").filter(lot < F.col("share")).select("lang", "text")
+    sample = rows.filter(lot < share).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, limit=SLICE):
