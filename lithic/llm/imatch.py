@@ -5,8 +5,9 @@
   are frequent in some block, and a second one counts just these in all documents. At most (mean terms of a document) /
   LOW terms can pass, whatever the size of the corpus; that is what is shared with the tasks.
 * Fingerprint: the distinct lexicon terms of a text are sorted. A hash of all of them comes first; then follows one hash for
-  each of SUBSETS lexicon subsets, to which a term belongs by its own hash, at rates from 1/4 down to 1/512.
-* Likeness: the share of subsets with equal hashes among those that hold a term of either text.
+  each of SUBSETS lexicon subsets, to which a term belongs by its own hash, at rates from 1/2048 up to 1/4.
+* Likeness: the share of subsets with equal hashes among the first ENOUGH (in order of rising rate) that hold a term of
+  either text. So the sparse subsets decide where they hold enough, and the dense ones help out for short texts.
 
 Texts with fewer than FEW lexicon terms use all their terms. Defined results: null is the empty text; texts without terms
 share one fingerprint and are alike (1.0) to each other only; equal texts have equal fingerprints; documents with equal
@@ -28,8 +29,8 @@ from lithic.llm.common import strings, tasks_for, text_slices
 from lithic.session import cut
 
 LOW, HIGH, FEW = 1 / 2000, 1 / 8, 4
-RATES = tuple(2.0**-k for k in range(2, 10))
-SUBSETS = 4 * len(RATES)
+RATES = tuple(2.0**-k for k in range(11, 1, -1))
+SUBSETS, ENOUGH = 8 * len(RATES), 16
 #: Distinct terms a block of documents may hold before it is closed.
 BLOCK_TERMS = 400_000
 
@@ -87,7 +88,7 @@ class Printer:
         known = self.member.get(term)
         if known is None:
             data = term.encode("utf-8", "surrogatepass")
-            known = tuple(j for j in range(SUBSETS) if xxhash.xxh64_intdigest(data, j) < RATES[j // 4] * 2.0**64)
+            known = tuple(j for j in range(SUBSETS) if xxhash.xxh64_intdigest(data, j) < RATES[j // 8] * 2.0**64)
             if term in self.words:
                 self.member[term] = known
         return known
@@ -99,15 +100,15 @@ class Printer:
         for term in kept:
             for j in self.subsets(term):
                 parts[j].append(term)
-        code = lambda p: f"{xxhash.xxh64_intdigest(' '.join(p).encode('utf-8', 'surrogatepass')) % 0xFFFF + 1:04x}" if p else "0000"
+        code = lambda p: f"{xxhash.xxh64_intdigest(' '.join(p).encode('utf-8', 'surrogatepass')) % 0xFF + 1:02x}" if p else "00"
         return f"{xxhash.xxh64_intdigest(' '.join(kept).encode('utf-8', 'surrogatepass')):016x}" + "".join(map(code, parts))
 
 
 def likeness(a: str, b: str) -> float:
     if a == b:
         return 1.0
-    pairs = [(a[i : i + 4], b[i : i + 4]) for i in range(16, len(a), 4)]
-    some = [x == y for x, y in pairs if x != "0000" or y != "0000"]
+    pairs = ((a[i : i + 2], b[i : i + 2]) for i in range(16, len(a), 2))
+    some = [x == y for x, y in pairs if x != "00" or y != "00"][:ENOUGH]
     return sum(some) / len(some) if some else 0.0
 
 
