@@ -25,10 +25,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithic.llm.common import strings, text_slices
+from lithic.llm.common import bounded_batches, strings, text_slices
 
-#: Most determinised states, token pairs, and encoded pieces that a worker keeps.
-STATES, PIECES = 300_000, 400_000
+#: Most determinised states and encoded pieces that a worker keeps.
+STATES, PIECES = 60_000, 150_000
 #: Ids that the decoder joins at once.
 CHUNK = 4096
 
@@ -53,7 +53,7 @@ class Transducer:
                     self.token.append(-1)
                 node = self.children[node][byte]
             self.token[node] = i
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.parts_of: dict[int, tuple[int, int] | None] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -62,25 +62,43 @@ class Transducer:
         self.number = {self.states[0]: 0}
         self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
 
-    def merge(self, data: bytes) -> list[int]:
-        """Ids by repeatedly merging the pair of lowest rank, the leftmost first."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best = min((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if best[0] == 1 << 60:
-                break
-            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
-        return [self.ranks[p] for p in parts]
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge gives a token; itself twice for a single byte; None if merging its bytes ends elsewhere."""
+        known = self.parts_of.get(token, ())
+        if known == ():
+            data = self.bytes_of[token]
+            parts = [data[i : i + 1] for i in range(len(data))]
+            known = (token, token) if len(parts) == 1 else None
+            while len(parts) > 1:
+                best = min((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+                if best[0] == 1 << 60:
+                    break
+                known = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
+                parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+            self.parts_of[token] = known
+        return known
 
     def may_follow(self, last: int, token: int) -> bool:
-        """Whether `token` may come right after `last` (-1: at the start)."""
-        known = self.pairs.get((last, token))
-        if known is None:
-            known = self.merge((self.bytes_of[last] if last >= 0 else b"") + self.bytes_of[token]) == ([last, token] if last >= 0 else [token])
-            if len(self.pairs) > STATES:
-                self.pairs.clear()
-            self.pairs[last, token] = known
-        return known
+        """Whether `token` may come right after `last` (-1: at the start).
+
+        The merges on both sides of the border are undone, the latest first (of equal ones the right one). The pair may
+        not stand if, at some point, the two parts at the border would have merged before the merge that was undone last.
+        """
+        if self.halves(token) is None:
+            return False
+        undone = 1 << 60
+        while last >= 0:
+            joined = self.ranks.get(self.bytes_of[last] + self.bytes_of[token])
+            if joined is not None and joined < undone:
+                return False
+            left, right = self.halves(last), self.halves(token)
+            if left[0] == last and right[0] == token:
+                break
+            if right[0] == token or left[0] != last and last > token:
+                undone, last = last, left[1]
+            else:
+                undone, token = token + 1, right[0]
+        return True
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         guesses, ended = [], None
@@ -94,10 +112,13 @@ class Transducer:
             if self.children[after]:
                 guesses.append((after, last, waiting))
         guesses.append(ended)
-        agreed = 0
-        shortest = min(len(g[2]) for g in guesses)
-        while agreed < shortest and len({g[2][agreed] for g in guesses}) == 1:
-            agreed += 1
+        first = guesses[0][2]
+        agreed = len(first)
+        for _, _, waiting in guesses:
+            i, end = 0, min(agreed, len(waiting))
+            while i < end and waiting[i] == first[i]:
+                i += 1
+            agreed = i
         written = guesses[0][2][:agreed]
         key = tuple((node, last, waiting[agreed:]) for node, last, waiting in guesses)
         to = self.number.get(key)
@@ -200,12 +221,13 @@ def coder(raw: bytes, pattern: str) -> Coder:
 
 def encoded(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep`, and ids, n_tokens, ids_text, decoded: the ids of each text as an array and as joined text, and the bytes they decode to."""
+    docs = bounded_batches(docs)
     with open(ranks_path, "rb") as f:  # a vocabulary: its size does not depend on the corpus
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = coder(vocabulary.value, pattern)
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=1 << 19):
             entries = [use.entries(t) for t in strings(batch.column("text"))]
             ids = [list(chain.from_iterable(e[0] for e in own)) for own in entries]
             columns = [pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array(",".join(e[1] for e in own) for own in entries), pa.array(map(use.decode, ids), pa.binary())]

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Text handled at once inside a task, in bytes; longer single texts are handled alone.
 SLICE_BYTES = 2 << 20
+#: Rows of an Arrow batch that holds texts.
+BATCH_ROWS = 500
 #: White space as the operators define it, for Java patterns.
 SPACE_CLASS = r"\x20\x09-\x0D"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -20,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Let Spark hand texts to Python BATCH_ROWS rows at a time, so that long texts do not add up to huge batches."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about `limit` bytes of one string column (one row at least)."""
     for batch in batches:

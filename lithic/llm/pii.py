@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithic.llm.common import strings, text_slices
+from lithic.llm.common import bounded_batches, strings, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -339,7 +339,7 @@ def detect(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     columns = f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, spans string"
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, columns)
+    return bounded_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, columns)
 
 
 def hidden(text: str, found: list[Span]) -> str:
@@ -364,4 +364,4 @@ def redacted(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
             at = batch.schema.get_field_index("text")
             yield batch.set_column(at, batch.schema.field(at), pa.array(clean, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)

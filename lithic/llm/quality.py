@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithic.llm.common import blobs, held_out, text_slices
+from lithic.llm.common import blobs, bounded_batches, held_out, text_slices
 from lithic.session import cut
 
 FEATURES, RIDGE, BINS, SEED = 128, 1.0, 1000, 11
@@ -69,7 +69,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *(pa.array(rows[:, k].copy()) for k in range(len(STATS)))], ["doc_id", "held_out", *STATS])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    source = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
+    source = bounded_batches(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, f"doc_id {kind}, held_out boolean, " + ", ".join(f"{s} double" for s in STATS))
 
 
@@ -181,4 +181,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
             rows = np.array([statistics_of(t) for t in blobs(batch.column("text"))], np.float64)
             yield batch.filter(pa.array(model.score(rows) >= GOOD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)

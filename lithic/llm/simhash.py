@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithic.llm.common import blobs, tasks_for, text_slices
+from lithic.llm.common import blobs, bounded_batches, tasks_for, text_slices
 from lithic.operators import traverse
 from lithic.session import cut
 
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ("
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fps.view(np.int64))], [*keep, "fp"])
 
     kept = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{kept}fp bigint")
+    return bounded_batches(docs).select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{kept}fp bigint")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
