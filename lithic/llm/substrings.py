@@ -12,7 +12,7 @@ windows have equal names wherever they occur; neighbouring windows mostly share
    boundaries are the classes of equal windows. Each class tells the smallest document that holds it.
 5. Parts look up their runs and remove every byte under a window whose class starts in an earlier document.
 
-Texts travel once; steps 1, 3 and 5 read the same shuffled parts. Groups of equal runs are single before they leave a part.
+Texts travel once; steps 1, 3 and 5 read the same shuffled parts. Equal runs of a chunk are sent once, and a part gets one answer for each.
 
 Defined results: null is the empty text; texts under LENGTH bytes are kept; rows with the same doc_id do not remove each
 other's bytes; rows without doc_id are kept whole and remove nothing; extra columns are ignored; empty tables give empty results.
@@ -296,14 +296,16 @@ def _solve(table: pa.Table) -> pa.Table:
     cuts = np.flatnonzero(np.r_[True, (firsts[1:] != firsts[:-1]) | (piece[1:] != piece[:-1])])
     width, value = np.diff(np.r_[cuts, len(firsts)]), firsts[cuts]
     run_at = np.searchsorted(piece[cuts], np.arange(len(pick) + 1))
-    useful, until = lowest[back] < high, np.cumsum([len(x) // 8 for x in table.column("low").to_pylist()])
-    out = []
-    for part, start, end in zip(table.column("part").to_pylist(), np.r_[0, until[:-1]], until, strict=True):
-        mine = start + np.flatnonzero(useful[start:end])
-        if len(mine):
-            n = run_at[back[mine] + 1] - run_at[back[mine]]
-            at = ranges(run_at[back[mine]], n)
-            out.append((part, np.repeat(content[mine], n).tobytes(), np.repeat(name[mine], n).tobytes(), width[at].astype(np.uint8).tobytes(), value[at].tobytes()))
+    # a part sends a run once for each of its chunks and gets one answer
+    rows = [len(x) // 8 for x in table.column("low").to_pylist()]
+    part = np.repeat(np.array(table.column("part").to_pylist(), np.int64), rows)
+    asked = np.flatnonzero(lowest[back] < high)
+    _, one = np.unique(part[asked] * len(pick) + back[asked], return_index=True)
+    asked, out = asked[one], []
+    for mine in np.split(asked, np.flatnonzero(np.diff(part[asked])) + 1) if len(asked) else ():
+        n = run_at[back[mine] + 1] - run_at[back[mine]]
+        at = ranges(run_at[back[mine]], n)
+        out.append((int(part[mine[0]]), np.repeat(content[mine], n).tobytes(), np.repeat(name[mine], n).tobytes(), width[at].astype(np.uint8).tobytes(), value[at].tobytes()))
     return _table(out, _FOUND)
 
 

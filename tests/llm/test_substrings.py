@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 from lithic.llm import substrings as sub
 
@@ -70,3 +72,28 @@ def test_long_texts_are_cut_into_overlapping_chunks(monkeypatch):
         for s, c, t in zip(runs.start, runs.count, runs.text):
             seen[row[t]] += range(s - runs.begin[t] + offset[t], s - runs.begin[t] + offset[t] + c)
     assert [sorted(x) for x in seen] == [list(range(951)), [], [], [0]]
+
+
+def grouped(tables, key):
+    whole = pa.concat_tables(tables)
+    return {k: whole.filter(pa.compute.equal(whole[key], k)) for k in whole[key].unique().to_pylist()}
+
+
+def in_process(rows, parts):
+    """The steps of deduplicate() in this process, where the sizes of chunks can be set."""
+    docs = [(d, t or "", i % parts) for i, (d, t, _) in enumerate(rows) if d is not None]
+    texts = grouped([pa.table(list(map(list, zip(*docs, strict=True))), names=["doc_id", "text", "part"])], "part")
+    asked = grouped([sub._ask(t, parts) for t in texts.values()], "bucket")
+    shared = grouped([sub._answer(t) for t in asked.values()], "part")
+    sent = grouped([sub._send(t, shared.get(p, sub._table([], sub._SHARED)), 2 * parts) for p, t in texts.items()], "shard")
+    found = grouped([sub._solve(t) for t in sent.values()], "part")
+    done = pa.concat_tables([sub._remove(t, found.get(p, sub._table([], sub._FOUND))) for p, t in texts.items()])
+    return sorted((tuple(r.values())[:5] for r in done.to_pylist()), key=str)
+
+
+def test_a_run_in_several_chunks_of_a_part_is_answered_once(monkeypatch):
+    for seed, parts, chunk, hot in ((5, 1, 300, 50_000), (6, 3, 500, 50_000), (7, 1, 400, 3), (8, 2, 1 << 20, 50_000)):
+        monkeypatch.setattr(sub, "CHUNK_BYTES", chunk)
+        monkeypatch.setattr(sub, "HOT", hot)
+        rows = [r for r in corpus(seed) if r[0] is not None]
+        assert in_process(rows, parts) == slow(rows)
