@@ -3,9 +3,10 @@
 Two tokens may stand next to each other in an encoding exactly if merging their joined bytes gives the two back, and
 every byte string has exactly one split into tokens whose neighbours all may. So a non-deterministic transducer reads
 bytes, guesses where tokens end, and keeps a guess only if the pair it makes may stand. Determinising it on demand
-gives states that are sets of (trie node, last token, tokens not yet written). Each set shrinks to a few guesses
-within a bounded number of bytes, and what they all agree on is written at once. States and transitions are made when first
-needed, kept for the life of a worker process, and dropped together when there are more than `STATES`.
+gives states that are sets of (trie node, last token); what each guess has written is carried beside the state, as chains that share what they
+agree on, so equal futures are one state. A guess lives as long as the longest token at most, and what the last one left has written is settled.
+States and transitions are made when first needed, kept for the life of a worker process, and dropped together when there are more than
+`STATES`; tested pairs and encoded pieces are kept in two generations, of which the older is dropped.
 
 `Decoder` turns ids back into bytes piece by piece: a small state machine holds back an unfinished UTF-8 sequence
 until its last byte arrives, so what comes out can always be read as text.
@@ -17,7 +18,9 @@ ordinary text; repeated rows are encoded one by one; extra columns are ignored;
 from __future__ import annotations
 
 import base64
+import gc
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import pyarrow as pa
@@ -27,8 +30,8 @@ from pyspark.sql import functions as F
 
 from lithic.llm.common import bounded_batches, strings, text_slices
 
-#: Most determinised states and encoded pieces that a worker keeps.
-STATES, PIECES = 60_000, 150_000
+#: Most determinised states that a worker keeps; encoded pieces and tested pairs in each of two generations.
+STATES, PIECES, PAIRS = 120_000, 150_000, 200_000
 #: Ids that the decoder joins at once.
 CHUNK = 4096
 
@@ -42,25 +45,24 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.children: list[dict[int, int]] = [{}]
-        self.token: list[int] = [-1]
-        for word, i in ranks.items():
-            node = 0
-            for byte in word:
-                if byte not in self.children[node]:
-                    self.children[node][byte] = len(self.children)
-                    self.children.append({})
-                    self.token.append(-1)
-                node = self.children[node][byte]
-            self.token[node] = i
+        nodes = {b"": 0}
+        inner = {word[:i] for word in ranks for i in range(1, len(word))}
+        #: By trie node and byte: the next node (0 if no token goes on there) and the token that ends there (or -1).
+        self.edges: dict[int, tuple[int, int]] = {}
+        for prefix in sorted(inner | set(ranks), key=len):
+            node = nodes[prefix] = len(nodes) if prefix in inner else 0
+            self.edges[nodes[prefix[:-1]] << 8 | prefix[-1]] = node, ranks.get(prefix, -1)
         self.parts_of: dict[int, tuple[int, int] | None] = {}
+        self.newer: dict[int, bool] = {}
+        self.older: dict[int, bool] = {}
         self._forget()
 
     def _forget(self) -> None:
-        #: A state is a tuple of guesses (trie node, last token or -1, tokens not yet written), oldest first.
-        self.states: list[tuple] = [((0, -1, ()),)]
+        #: A state is a tuple of guesses (trie node, last token or -1), oldest first; what they have written is no part of it.
+        self.states: list[tuple[tuple[int, int], ...]] = [((0, -1),)]
         self.number = {self.states[0]: 0}
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        #: By state and byte: the next state, the guesses that go on, the guess that ends a token, that token.
+        self.moves: list[dict[int, tuple[int, tuple[int, ...], int, int]]] = [{}]
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge gives a token; itself twice for a single byte; None if merging its bytes ends elsewhere."""
@@ -84,67 +86,93 @@ class Transducer:
         The merges on both sides of the border are undone, the latest first (of equal ones the right one). The pair may
         not stand if, at some point, the two parts at the border would have merged before the merge that was undone last.
         """
-        if self.halves(token) is None:
+        right = self.halves(token)
+        if right is None:
             return False
-        undone = 1 << 60
-        while last >= 0:
-            joined = self.ranks.get(self.bytes_of[last] + self.bytes_of[token])
+        if last < 0:
+            return True
+        undone, left, ranks, bytes_of, halves = 1 << 60, self.halves(last), self.ranks, self.bytes_of, self.halves
+        while True:
+            joined = ranks.get(bytes_of[last] + bytes_of[token])
             if joined is not None and joined < undone:
                 return False
-            left, right = self.halves(last), self.halves(token)
             if left[0] == last and right[0] == token:
                 break
             if right[0] == token or left[0] != last and last > token:
                 undone, last = last, left[1]
+                left = halves(last)
             else:
                 undone, token = token + 1, right[0]
+                right = halves(token)
         return True
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        guesses, ended = [], None
-        for node, last, waiting in self.states[state]:
-            after = self.children[node].get(byte)
-            if after is None:
+    def pair(self, last: int, token: int) -> bool:
+        """`may_follow`, remembered for the pairs met lately."""
+        key = last << 32 | token
+        known = self.older.get(key)
+        if known is None:
+            known = self.may_follow(last, token)
+        if len(self.newer) >= PAIRS:
+            self.older, self.newer = self.newer, {}
+        self.newer[key] = known
+        return known
+
+    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...], int, int]:
+        guesses, origin, ended, by = [], [], -1, -1
+        get, tested = self.edges.get, self.newer.get
+        for i, (node, last) in enumerate(self.states[state]):
+            edge = get(node << 8 | byte)
+            if edge is None:
                 continue
-            token = self.token[after]
-            if ended is None and token >= 0 and self.may_follow(last, token):
-                ended = (0, token, (*waiting, token))
-            if self.children[after]:
-                guesses.append((after, last, waiting))
-        guesses.append(ended)
-        first = guesses[0][2]
-        agreed = len(first)
-        for _, _, waiting in guesses:
-            i, end = 0, min(agreed, len(waiting))
-            while i < end and waiting[i] == first[i]:
-                i += 1
-            agreed = i
-        written = guesses[0][2][:agreed]
-        key = tuple((node, last, waiting[agreed:]) for node, last, waiting in guesses)
+            after, token = edge
+            if ended < 0 <= token:
+                fits = tested(last << 32 | token)
+                if self.pair(last, token) if fits is None else fits:
+                    ended, by = token, i
+            if after:
+                guesses.append((after, last))
+                origin.append(i)
+        guesses.append((0, ended))
+        key = tuple(guesses)
         to = self.number.get(key)
         if to is None:
             to = self.number[key] = len(self.states)
             self.states.append(key)
             self.moves.append({})
-        self.moves[state][byte] = to, written
-        return to, written
+        step = self.moves[state][byte] = to, tuple(origin), by, ended
+        return step
 
     def encode(self, piece: bytes) -> list[int]:
-        """Ids of one piece of text."""
+        """Ids of one piece of text.
+
+        Each guess carries the tokens it has written as a chain, newest first; guesses share what they agree on. When a single guess
+        is left its chain is settled and written out.
+        """
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
         if len(self.states) > STATES:
             self._forget()
-        state, out, moves = 0, [], self.moves
+        state, moves, move = 0, self.moves, self._move
+        chains: list[tuple | None] = [None]
+        out: list[int] = []
         for byte in piece:
-            step = moves[state].get(byte)
-            if step is None:
-                step = self._move(state, byte)
-            state, written = step
-            if written:
-                out += written
-        return [*out, *self.states[state][-1][2]]
+            step = moves[state].get(byte) or move(state, byte)
+            state, origin, by, token = step
+            if origin:
+                chains = [*[chains[i] for i in origin], (chains[by], token)]
+            else:
+                out += self._unwound((chains[by], token))
+                chains = [None]
+        return out + self._unwound(chains[-1])
+
+    @staticmethod
+    def _unwound(chain: tuple | None) -> list[int]:
+        back = []
+        while chain:
+            chain, token = chain
+            back.append(token)
+        return back[::-1]
 
 
 class Decoder:
@@ -180,19 +208,22 @@ class Coder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.fst, self.split = Transducer(ranks), regex.compile(pattern)
         self.known: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
 
     def _piece(self, piece: str) -> tuple[tuple[int, ...], str]:
-        ids = tuple(self.fst.encode(piece.encode("utf-8", "surrogatepass")))
-        entry = ids, ",".join(map(str, ids))
+        entry = self.older.get(piece)
+        if entry is None:
+            ids = tuple(self.fst.encode(piece.encode("utf-8", "surrogatepass")))
+            entry = ids, ",".join(map(str, ids))
         if len(piece) < 64:
             if len(self.known) >= PIECES:
-                self.known.clear()
+                self.older, self.known = self.known, {}
             self.known[piece] = entry
         return entry
 
     def entries(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        get, make = self.known.get, self._piece
-        return [get(p) or make(p) for p in self.split.findall(text)]
+        make = self._piece
+        return [self.known.get(p) or make(p) for p in self.split.findall(text)]
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(e[0] for e in self.entries(text)))
@@ -208,6 +239,18 @@ class Coder:
         return b"".join(self.decode_stream(ids))
 
 
+@contextmanager
+def no_cycles() -> Iterator[None]:
+    """Nothing in here makes reference cycles, so the collector need not walk the remembered states and pieces again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 _coders: dict[tuple[int, str], Coder] = {}
 
 
@@ -228,7 +271,8 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = coder(vocabulary.value, pattern)
         for batch in text_slices(batches, limit=1 << 19):
-            entries = [use.entries(t) for t in strings(batch.column("text"))]
+            with no_cycles():
+                entries = [use.entries(t) for t in strings(batch.column("text"))]
             ids = [list(chain.from_iterable(e[0] for e in own)) for own in entries]
             columns = [pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array(",".join(e[1] for e in own) for own in entries), pa.array(map(use.decode, ids), pa.binary())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], [*keep, "ids", "n_tokens", "ids_text", "decoded"])

@@ -100,10 +100,13 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The mixed corpus: a row of `docs` per pass that takes words of it, its text cut to the words taken."""
+    """The mixed corpus: a row of `docs` per pass that takes words of it, its text cut to the words taken.
+
+    Rows that are equal in doc_id, source and text are one row that may be taken more often. Texts are dealt out once, by that key, for both.
+    """
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x02")) for c in ("doc_id", "source", "text")]
     taken = schedule(cut(sizes(docs)), block).select("key", "size", F.explode(F.array("first", "second")).alias("words")).filter("words > 0")
-    rows = docs.distinct().withColumn("_key", F.md5(F.concat_ws("\x01", *parts)))
+    rows = docs.withColumn("_key", F.md5(F.concat_ws("\x01", *parts))).dropDuplicates(["_key"])
     words = F.split("text", f"(?<=[^{SPACE_CLASS}])(?=[{SPACE_CLASS}])")
     part = F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("_words").cast("int")), ""))
     joined = rows.join(taken.select(F.col("key").alias("_key"), F.col("size").alias("_size"), F.col("words").alias("_words")), "_key")

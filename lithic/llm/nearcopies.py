@@ -1,12 +1,13 @@
-"""One of each group of near copies: banded shingle hashes find candidates, Jaccard similarity of the shingle sets decides.
+"""One of each group of near copies: SimHash and banded shingle hashes find candidates, Jaccard similarity of the shingle sets decides.
 
 1. A text is the set of its hashed WIDTH-word shingles (lower case). Texts with equal sets are one node from here on.
-2. Each node has BANDS * ROWS minima of its set under different hash functions. ROWS minima make a cell key; two nodes with
-   similarity s share a cell with probability 1 - (1 - s^ROWS)^BANDS, which is 0.99997 at 0.8 and more above.
-3. The smallest nodes of each cell are compared with all greater ones that are not yet in their group, then leave the cell. A
-   cell is done when all that is left of it is in one group, so a group of copies costs one comparison each, and only nodes that
-   share a cell but are unlike are compared in all pairs. Rows made by a round are at most LEADS times the rows of the cells.
-4. A candidate pair is a link if the exact similarity of its sets is SIMILARITY at least. Groups are the components over links.
+2. Candidates come from two sides. The SimHash fingerprints of the texts, over the same shingles, go through the Gray-order index of `simhash`,
+   which links all within its radius. What is further apart than such a radius can be told from is found by cells: each node has MINIMA
+   minima of its set under different hash functions, and KEYS fixed choices of ROWS minima make a cell key each. At similarity 0.8 two nodes
+   share a cell with probability 0.997, at 0.5 with 0.17, at 0.3 with 0.003, so texts that share a passage only do not meet.
+3. Members of a cell are tied to its smallest node, first within tasks and then over them; what hangs together is a cluster.
+4. Clusters are dealt into slices and their sets compared as in `setjoin`: no pairs leave a task but those that join two groups.
+   A candidate is a link if the similarity of its sets is PERCENT hundredths at least. Groups are the components over links.
 
 Defined results: null and blank texts have the empty set and are one node; texts of fewer words than a shingle are one shingle;
 a group keeps all columns of the row with the smallest doc_id (a null one last), then text hash; an empty table gives an empty one.
@@ -18,106 +19,81 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lithic.llm.common import blobs, bounded_batches, text_slices
+from lithic.llm import setjoin, simhash
+from lithic.llm.common import strings, text_slices
 from lithic.operators import traverse
 from lithic.session import cut
 
-WIDTH, SIMILARITY, SEED = 5, 0.8, 42
-BANDS, ROWS = 20, 4
-#: Nodes of a cell compared with the others in one round, at most.
-LEADS = 64
-_MIX = np.random.default_rng(SEED).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
+WIDTH, PERCENT, SEED = 5, 80, 42
+#: Minima of a set, and the cells made of them.
+MINIMA, KEYS, ROWS = 128, 48, 8
+#: Values of a block of minima.
+BLOCK = 1 << 18
+_RANDOM = np.random.default_rng(SEED)
+_MASK, _FACTOR = _RANDOM.integers(1, 1 << 63, (2, MINIMA, 1), dtype=np.uint64) | np.uint64(1)
+_CHOSEN = np.array([_RANDOM.permutation(MINIMA)[:ROWS] for _ in range(KEYS)])
+_STEP = _RANDOM.integers(1, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """The set of hashed shingles, ascending."""
-    words = text.lower().split()
-    if not words:
+def cells(own: np.ndarray) -> np.ndarray:
+    """A key for each choice of minima; none for the empty set."""
+    if not len(own):
         return np.zeros(0, np.uint64)
-    grams = zip(*(words[i:] for i in range(WIDTH)), strict=False) if len(words) >= WIDTH else [words]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in map(b" ".join, grams)), np.uint64))
+    least = np.full(MINIMA, simhash.FULL)
+    for at in range(0, len(own), BLOCK // MINIMA):
+        h = (own[None, at : at + BLOCK // MINIMA] ^ _MASK) * _FACTOR
+        h ^= h >> np.uint64(32)
+        least = np.minimum(least, h.min(axis=1))
+    return setjoin.mixed((setjoin.mixed(least[_CHOSEN]) * _STEP).sum(axis=1, dtype=np.uint64) + np.arange(KEYS, dtype=np.uint64))
 
 
-def cells(own: np.ndarray) -> list[int]:
-    """A key for each band of minima."""
-    if not len(own):
-        return []
-    least = np.empty(BANDS * ROWS, np.uint64)
-    for k, (a, b) in enumerate(_MIX.T):
-        h = (own ^ b) * a
-        least[k] = (h ^ h >> np.uint64(32)).min()
-    return [xxhash.xxh64_intdigest(x.tobytes(), i) - (1 << 63) for i, x in enumerate(least.reshape(BANDS, ROWS))]
+def close_prints(rows: DataFrame) -> DataFrame:
+    """(src, dst): ties of nodes whose fingerprints, rows of (node, fp), are equal or linked by the Gray-order index."""
+    first = cut(rows.groupBy("fp").agg(F.min("node").alias("low"), F.max("node").alias("high")))
+    equal = rows.join(first.filter("low <> high"), "fp").filter("node <> low").select(F.col("node").alias("src"), F.col("low").alias("dst"))
+    of = lambda end: first.select(F.col("fp").alias(end), F.col("low").alias(f"{end}_node"))
+    near = cut(simhash.edges(first.select("fp"))).join(of("src"), "src").join(of("dst"), "dst").select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"))
+    return equal.unionByName(near)
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(1, len(a) + len(b) - both)
+def components(members: DataFrame, slice_sets: int = setjoin.SLICE_SETS) -> DataFrame | None:
+    """(id, component) of the nodes that have links, from rows of (node, cluster, own); none if there is no link."""
+    return setjoin.linked(members, PERCENT, slice_sets)
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Node and fingerprint of each text."""
     for batch in text_slices(batches):
-        sets = [shingles(t) for t in blobs(batch.column("text"))]
-        node = [xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_key"), pa.array(node, pa.int64()), pa.array([cells(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "_key", "node", "cells"])
+        texts = [t.encode() for t in strings(batch.column("text"))]
+        node = [setjoin.node_of(setjoin.shingles(t, WIDTH)) for t in texts]
+        fp = np.array([simhash.simhash(t, WIDTH) for t in texts], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_key"), pa.array(node, pa.int64()), pa.array(fp)], ["doc_id", "_key", "node", "fp"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches):
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingles(t).tobytes() for t in blobs(batch.column("text"))], pa.binary())], ["node", "own"])
-
-
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        pairs = zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)
-        like = [similarity(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) >= SIMILARITY for a, b in pairs]
-        yield batch.select(["src", "dst"]).filter(pa.array(like, pa.bool_()))
-
-
-def components(shared: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """(id, component) of the nodes that have links, from (cell, node) of the cells with several nodes; none if there is no link."""
-    links, groups, leads = None, None, 1
-    while True:
-        if groups is None:
-            marked = shared.withColumn("group", F.col("node"))
-        else:
-            marked = shared.join(groups.withColumnRenamed("id", "node"), "node", "left").select("cell", "node", F.coalesce("component", "node").alias("group"))
-        open_ = marked.groupBy("cell").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("cell")
-        marked = cut(marked.join(open_, "cell"))
-        if marked.isEmpty():
-            return groups
-        rank = F.row_number().over(Window.partitionBy("cell").orderBy("node"))
-        lead = cut(marked.withColumn("rank", rank).filter(F.col("rank") <= leads).select("cell", F.col("node").alias("src"), F.col("group").alias("side")))
-        pairs = marked.join(lead, "cell").filter((F.col("node") > F.col("src")) & (F.col("group") != F.col("side"))).select("src", F.col("node").alias("dst")).distinct()
-        of = lambda key, name: sets.select(F.col("node").alias(key), F.col("own").alias(name))
-        fresh = cut(bounded_batches(pairs.join(of("dst", "b"), "dst").join(of("src", "a"), "src")).select("src", "dst", "a", "b").mapInArrow(_verified, "src bigint, dst bigint"))
-        if not fresh.isEmpty():
-            links = fresh if links is None else links.unionByName(fresh)
-            groups = cut(traverse.components(links))
-        last = lead.groupBy("cell").agg(F.max("src").alias("last"))
-        shared = cut(marked.join(last, "cell").filter(F.col("node") > F.col("last")).select("cell", "node"))
-        leads = min(LEADS, 4 * leads)
-
-
-def representatives(docs: DataFrame) -> DataFrame:
+def representatives(docs: DataFrame, slice_sets: int = setjoin.SLICE_SETS) -> DataFrame:
     """One row of `docs`, all columns, of each group."""
     keyed = docs.withColumn("_key", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     texts = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "_key", F.col("text").cast("string").alias("text"))
-    marked = cut(bounded_batches(texts).mapInArrow(_sketches, "doc_id bigint, _key string, node bigint, cells array<bigint>"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "_key")).alias("first")
-    nodes = cut(marked.groupBy("node").agg(first, F.first("cells").alias("cells")))
-    dealt = nodes.select("node", F.explode("cells").alias("cell"))
-    several = dealt.groupBy("cell").count().filter("count > 1").select("cell")
-    shared = cut(dealt.join(several, "cell").select("cell", "node"))
-    holder = nodes.join(shared.select("node").distinct(), "node").select("node", F.col("first.doc_id").alias("_id"), F.col("first._key").alias("_first"))
-    held = texts.join(holder, texts["doc_id"].eqNullSafe(holder["_id"]) & (texts["_key"] == holder["_first"])).dropDuplicates(["node"])
-    groups = components(shared, cut(bounded_batches(held.select("node", "text")).mapInArrow(_sets, "node bigint, own binary")))
+    named = cut(texts.mapInArrow(_named, "doc_id long, _key string, node long, fp long"))
+    order = F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "_key")
+    nodes = cut(named.groupBy("node").agg(F.min(order).alias("first"), F.min("fp").alias("fp")))
+    met = cut(setjoin.sketches(texts.select("doc_id", "text"), WIDTH, cells).filter("size is null"))
+    ties = setjoin.stars(met).unionByName(close_prints(nodes.select("node", "fp")))
+    cluster = cut(setjoin.clusters(ties))
+    holder = cut(cluster.join(nodes, "node").select("node", "cluster", F.col("first.doc_id").alias("doc_id")))
+    members = cut(holder.join(setjoin.sets_of(texts, holder, WIDTH), "node").dropDuplicates(["node"]).select("node", "cluster", "own"))
+    groups = components(members, slice_sets)
     member = nodes.select("node", "first")
     member = member.withColumn("root", F.col("node")) if groups is None else member.join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("component", "node"))
     kept = member.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first._key").alias("_first"))
+    rest = cut(member.join(kept, (F.col("first.doc_id").eqNullSafe(F.col("_id"))) & (F.col("first._key") == F.col("_first"))).select("_id", "_first"))
+    return one_each(keyed, rest, docs.columns)
+
+
+def one_each(keyed: DataFrame, kept: DataFrame, columns: list[str]) -> DataFrame:
+    """One whole row of `keyed` for each (_id, _first) of `kept`; rows that are equal in both are one."""
     one = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_key"] == kept["_first"]))
-    return one.dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
+    return one.dropDuplicates(["doc_id", "_key"]).select(*columns)

@@ -6,7 +6,7 @@ Two sets link when their intersection has at least PERCENT hundredths of their u
    differing members, so linked sets agree on a part. Each part's hash is a cell. One part of slack for each
    empty part that is to be expected means that empty parts need no cell; a set with more of them is cut again under another seed. Cells
    hold about eight members, so texts that only share a line or a phrase do not meet.
-2. Members of a cell are tied to its smallest node, a star instead of all pairs; what hangs together is a cluster. A cluster is one slice,
+2. Members of a cell are tied to its smallest node, a star instead of all pairs, first within tasks and then over them; what hangs together is a cluster. A cluster is one slice,
    or several if its sets are many or large, so no task holds more than a slice.
 3. Inside a slice inverted lists (member: sets that hold it) answer T-occurrence queries. For a query of size b a linked set holds at least
    T of its members. DivideSkip puts the longest lists aside, merges the short ones on a heap, skipping ahead by binary search, and looks
@@ -35,6 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lithic.llm.common import blobs, tasks_for, text_slices
 from lithic.operators import traverse
@@ -45,6 +46,8 @@ WIDTH, PERCENT, SEED = 3, 90, 42
 SLICE_SETS, SLICE_MEMBERS = 1024, 1 << 21
 #: Sets of a slice that query the others first.
 HUBS = 16
+#: Cells that a task holds before it ties those that are equal.
+CELLS = 1 << 22
 #: Cost of a step on the heap by that of a look-up, for the number of long lists.
 WEIGHT = 0.0085
 #: Ratio of size classes, and seeds under which a set with many empty parts is cut before empty parts count.
@@ -275,10 +278,15 @@ def _across(percent: int) -> Callable:
     return run
 
 
-def stars(shared: DataFrame) -> DataFrame:
-    """(src, dst): ties of each member of a cell, rows of (cell, node), with its smallest node."""
-    low = shared.groupBy("cell").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("cell", "low")
-    return shared.join(low, "cell").filter("node <> low").select(F.col("node").alias("src"), F.col("low").alias("dst")).distinct()
+def stars(marked: DataFrame) -> DataFrame:
+    """(src, dst): ties of the members of each cell with its smallest node, from the rows of `_sketches`.
+
+    A cell has one row per task and CELLS cells at most, as tasks have tied their own members already.
+    """
+    low = F.min("node").over(Window.partitionBy("cell"))
+    shared = marked.select(F.explode("cells").alias("cell"), "node").withColumn("low", low).filter("node <> low")
+    own = marked.filter("tie is not null").select(F.col("node").alias("src"), F.col("tie").alias("dst"))
+    return shared.select(F.col("node").alias("src"), F.col("low").alias("dst")).unionByName(own).distinct()
 
 
 def clusters(ties: DataFrame) -> DataFrame:
@@ -317,18 +325,53 @@ def linked(members: DataFrame, percent: int = PERCENT, slice_sets: int = SLICE_S
     return None if links.isEmpty() else cut(traverse.components(links))
 
 
-def _sketches(width: int, percent: int) -> Callable:
+#: Columns of a row of a document, of a tie of two nodes, or of the cells that a node stands for in its task.
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("tie", pa.int64()), ("cells", pa.list_(pa.int64()))])
+SKETCH = "doc_id long, node long, size long, tie long, cells array<long>"
+
+
+def _met(node: np.ndarray, cell: np.ndarray) -> pa.RecordBatch:
+    """Of each cell its smallest node stands for it; the others are tied to that node."""
+    order = np.lexsort((node, cell))
+    node, cell = node[order], cell[order]
+    head = np.r_[True, cell[1:] != cell[:-1]] if len(cell) else np.zeros(0, bool)
+    lead = node[np.flatnonzero(head)][np.cumsum(head) - 1]
+    ties = np.unique(np.stack([node, lead], 1)[node != lead], axis=0)
+    node, cell = node[head], cell[head]
+    order = np.argsort(node, kind="stable")
+    node, cell = node[order], cell[order]
+    cuts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else np.zeros(0, np.int64)
+    t, n = len(ties), len(cuts)
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[np.zeros(t, np.int64), cuts, len(cell)], pa.int32()), pa.array(cell.view(np.int64)))
+    none = pa.nulls(t + n, pa.int64())
+    columns = [none, pa.array(np.r_[ties[:, 0], node[cuts]].astype(np.int64)), none, pa.concat_arrays([pa.array(ties[:, 1].astype(np.int64)), pa.nulls(n, pa.int64())]), lists]
+    return pa.RecordBatch.from_arrays(columns, schema=_SKETCH)
+
+
+def sketches(texts: DataFrame, width: int, keys: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Rows of SKETCH: (doc_id, node, size) for each text; (node, tie) for two nodes with a cell in common; (node, cells) for what `keys` gives."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, found, held = [], [], 0
+        known: set[int] = set()
         for batch in text_slices(batches):
             sets = [shingles(t, width) for t in blobs(batch.column("text"))]
-            keys = [cells(s, percent).view(np.int64) for s in sets]
-            ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([node_of(s) for s in sets], pa.int64()), pa.array(map(len, sets), pa.int64()), pa.ListArray.from_arrays(ends, np.concatenate(keys))],
-                ["doc_id", "node", "size", "cells"],
-            )
-
-    return run
+            named = [node_of(s) for s in sets]
+            for node, own in zip(named, sets, strict=True):
+                if node not in known and len(key := keys(own)):
+                    known.add(node)
+                    nodes.append(np.full(len(key), node))
+                    found.append(key)
+                    held += len(key)
+            none = pa.nulls(len(sets), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(named, pa.int64()), pa.array(map(len, sets), pa.int64()), none, pa.nulls(len(sets), _SKETCH.field("cells").type)], schema=_SKETCH)
+            if held > CELLS:
+                yield _met(np.concatenate(nodes), np.concatenate(found))
+                nodes, found, held, known = [], [], 0, set()
+        if held:
+            yield _met(np.concatenate(nodes), np.concatenate(found))
+
+    return texts.mapInArrow(run, SKETCH)
 
 
 def _sets(width: int) -> Callable:
@@ -342,7 +385,7 @@ def _sets(width: int) -> Callable:
 
 def sets_of(texts: DataFrame, held: DataFrame, width: int) -> DataFrame:
     """(node, own): the sets of texts whose doc_id is one of `held`; other nodes may come with them."""
-    wanted = held.select(F.col("doc_id").alias("_id")).distinct()
+    wanted = held.select(F.col("doc_id").alias("_id")).distinct().hint("merge")  # grows with the texts: never broadcast
     chosen = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_id"]), "left_semi").select("text")
     return chosen.mapInArrow(_sets(width), "node long, own binary")
 
@@ -350,9 +393,10 @@ def sets_of(texts: DataFrame, held: DataFrame, width: int) -> DataFrame:
 def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, slice_sets: int = SLICE_SETS) -> DataFrame:
     """(doc_id, n_shingles, component_id): size of each document's set and the smallest doc_id reachable over links."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = cut(texts.mapInArrow(_sketches(width, percent), "doc_id long, node long, size long, cells array<long>"))
-    nodes = cut(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("size").alias("size")))
-    cluster = cut(clusters(stars(marked.select(F.explode("cells").alias("cell"), "node"))))
+    marked = cut(sketches(texts, width, lambda own: cells(own, percent)))
+    rows = marked.filter("size is not null").select("doc_id", "node", "size")
+    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("size").alias("size")))
+    cluster = cut(clusters(stars(marked)))
     holder = cut(cluster.join(nodes, "node").select("node", "cluster", F.col("first").alias("doc_id")))
     own = sets_of(texts, holder, width)
     members = cut(holder.join(own, "node").dropDuplicates(["node"]).select("node", "cluster", "own"))
@@ -361,7 +405,7 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, slice_se
     low = rooted.groupBy("root").agg(F.min("first").alias("low"))
     named = rooted.join(low, "root").select("node", "low")
     own_id = F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("low"))
-    return marked.select("doc_id", "node", "size").join(named, "node").select("doc_id", F.col("size").alias("n_shingles"), own_id.alias("component_id"))
+    return rows.join(named, "node").select("doc_id", F.col("size").alias("n_shingles"), own_id.alias("component_id"))
 
 
 #: The same in DuckDB: all pairs that share a shingle are counted, groups closed by walking over links.
