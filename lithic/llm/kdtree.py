@@ -10,7 +10,8 @@
 Components are floor(SCALE * x) of x as double; scores are exact integers (computed with arbitrary precision where doubles could
 round, and held within the range of long). Defined results: vectors that are null or hold null or non-finite
 components take no part; shorter vectors count as padded with zeros; a row is never its own candidate, but another row
-with the same id is; ties go to the smaller vec_id (null last); extra columns are ignored; empty tables give empty results.
+with the same id is; a row without vec_id is a candidate and, if `asks` holds for it, a query, and comes last in ties (inside, it stands as the
+largest long, so a vec_id of that value reads as null); extra columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from lithic.session import cut
 
 SCALE, SHARD_ROWS, LEAF, BLOCK = 1024, 16384, 128, 512
 EXACT = 2.0**53
+#: Stands for a missing vec_id.
+NO_ID = 2**63 - 1
 
 
 def dots(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -161,24 +164,26 @@ def top_k(vectors: DataFrame, asks: Column, k: int = 10, shard_rows: int = SHARD
     """(query_id, rank, vec_id, score): the k best other rows of each row for which `asks` holds."""
     spark, rows = vectors.sparkSession, whole(vectors)
     shards = max(1, -(-vectors.count() // shard_rows))
-    dealt = rows.filter("vec_id is not null").select(
-        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"), F.col("vec_id").cast("long").alias("vec_id"), "v", F.coalesce(asks, F.lit(False)).alias("asks")
+    dealt = rows.select(
+        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"), F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("vec_id"), "v", F.coalesce(asks, F.lit(False)).alias("asks")
     )
-    packed = cut(dealt.repartition(shards, "shard").sortWithinPartitions("shard", "vec_id").mapInArrow(lambda b: _pack(b, k), _PACKED))
+    packed = cut(dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "vec_id").mapInArrow(lambda b: _pack(b, k), _PACKED))
     trees = packed.filter("block < 0").withColumn("home", F.col("shard"))
     blocks = packed.filter("block >= 0").withColumn("home", F.col("shard")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     reached = blocks.join(trees.select("shard"), "shard", "left_semi")
-    sent = trees.unionByName(reached.select(*trees.columns)).repartition(shards, "shard").sortWithinPartitions("shard", "block", "home")
+    sent = trees.unionByName(reached.select(*trees.columns)).repartitionById(shards, "shard").sortWithinPartitions("shard", "block", "home")
     found = sent.mapInArrow(lambda b: _search(b, k), "home int, place long, query_id long, vec_id long, score long")
     best = Window.partitionBy("home", "place").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
+        F.nullif("query_id", F.lit(NO_ID)).alias("query_id"), "rank", F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id"), "score"
+    )
 
 
 SQL = f"""
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST)::INT AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) <= 10
 """

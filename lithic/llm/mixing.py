@@ -5,7 +5,8 @@
 * Schedule: slot i asks for the point frac(i * golden ratio). The targets, laid end to end, tell which source the point
   belongs to, so any stretch of the schedule holds the sources in nearly the wanted ratio.
 * Blocks: the documents of a source, in the order of a hash of their id, form one stream of words, cut into blocks of
-  `BLOCK` words. The source's slots are ranked and take the blocks in turn, starting over after the last one; nothing
+  `BLOCK` words, or of one word where the target is below `FINE` words, as blocks would be too coarse for it. Fine and coarse sources have a
+  schedule each. The source's slots are ranked and take the blocks in turn, starting over after the last one; nothing
   is taken more than `CAP` times.
 
 Running sums over a source are made from a range-partitioned sort, sums per partition and offsets, so a source with a
@@ -26,6 +27,10 @@ from lithic.session import cut
 
 SHARE, CAP, WEIGHTS, BLOCK = 1.5, 2, (5, 2, 1), 64
 GOLDEN = 0.6180339887498949
+#: Words of a target from which on blocks are `BLOCK` words long.
+FINE = 4096
+#: Slots are numbered high * 2^20 + low; the fraction of 2^20 golden ratios keeps the digits that a product of doubles would lose.
+HIGH = 0.6077874097403510
 
 
 def running(df: DataFrame, by: list[str], order: list[str | Column], value: Column, name: str) -> DataFrame:
@@ -46,8 +51,8 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", size.alias("size"), F.md5(F.concat_ws("\x01", *parts)).alias("key"))
 
 
-def targets(sized: DataFrame) -> DataFrame:
-    """(source, src, source_size, target, quota, at): per source its ordinal, words, target and place among all targets."""
+def targets(sized: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(source, src, source_size, target, quota, block, at): per source its ordinal, words, target, words of a block and place among all targets of such blocks."""
     spark = sized.sparkSession
     grouped = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("nil", F.col("source").isNull().cast("int")).withColumn("one", F.lit(1))
     placed = running(grouped, ["one"], ["nil", "source"], F.lit(1), "src")
@@ -59,36 +64,45 @@ def targets(sized: DataFrame) -> DataFrame:
         s = placed.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(full, F.col("most"))), F.lit(0.0)).alias("full"), F.sum(F.when(~full, F.col("w"))).alias("open")).first()
         before, level = level, max(level, (SHARE * s["all"] - s["full"]) / s["open"]) if s["open"] else level
     target = F.least("most", F.lit(level) * F.col("w"))
-    quota = placed.select("source", "src", "source_size", F.round(target, 6).alias("target"), F.round(target).cast("long").alias("quota"), F.lit(1).alias("one"))
-    return cut(running(quota, ["one"], ["src"], F.col("quota"), "at").drop("one"))
-
-
-def passes(goals: DataFrame, block: int) -> DataFrame:
-    """(src, b, times): how often the schedule takes block `b` of a source."""
-    spark = goals.sparkSession
-    s = goals.agg(F.coalesce(F.sum("quota"), F.lit(0)).alias("all"), F.count(F.lit(1)).alias("n")).first()
-    width = max(1, -(-s["all"] // max(1024, 4 * s["n"])))
-    asked = F.floor(F.pmod(F.col("id") * F.lit(GOLDEN), F.lit(1.0)) * F.lit(float(s["all"]))).cast("long")
-    slots = spark.range(-(-s["all"] // block)).select("id", asked.alias("p")).withColumn("cell", F.floor(F.col("p") / width))
-    ends = F.col("at") + F.col("quota")
-    cells = goals.filter("quota > 0").select("src", "source_size", "at", ends.alias("until"), F.explode(F.sequence(F.floor(F.col("at") / width), F.floor((ends - 1) / width))).alias("cell"))
-    given = slots.join(cells, "cell").filter((F.col("p") >= F.col("at")) & (F.col("p") < F.col("until"))).select("src", "source_size", "id")
-    ranked = running(given, ["src"], ["id"], F.lit(1), "r")
-    blocks = F.ceil(F.col("source_size") / block)
-    return ranked.filter(F.col("r") < blocks * CAP).groupBy("src", (F.col("r") % blocks).alias("b")).agg(F.count(F.lit(1)).alias("times"))
+    quota = placed.select("source", "src", "source_size", F.round(target, 6).alias("target"), F.round(target).cast("long").alias("quota"))
+    quota = quota.withColumn("block", F.when(F.col("quota") < FINE, F.lit(1)).otherwise(F.lit(block)).cast("long"))
+    return cut(running(quota, ["block"], ["src"], F.col("quota"), "at"))
+
+
+def point(slot: Column) -> Column:
+    """The golden-ratio point of a slot, in [0, 1)."""
+    high, low = F.shiftright(slot, 20).cast("double") * F.lit(HIGH), slot.bitwiseAND(F.lit((1 << 20) - 1)).cast("double") * F.lit(GOLDEN)
+    return F.pmod(F.pmod(high, F.lit(1.0)) + F.pmod(low, F.lit(1.0)), F.lit(1.0))
+
+
+def passes(goals: DataFrame) -> DataFrame:
+    """(src, b, times): how often the schedules take block `b` of a source."""
+    spark, found = goals.sparkSession, None
+    for s in goals.filter("quota > 0").groupBy("block").agg(F.sum("quota").alias("all"), F.count(F.lit(1)).alias("n")).orderBy("block").collect():  # two rows at most
+        width = max(1, -(-s["all"] // max(1024, 4 * s["n"])))
+        slots = spark.range(-(-s["all"] // s["block"])).select("id", F.floor(point(F.col("id")) * F.lit(float(s["all"]))).cast("long").alias("p")).withColumn("cell", F.floor(F.col("p") / width))
+        ends = F.col("at") + F.col("quota")
+        own = goals.filter((F.col("quota") > 0) & (F.col("block") == s["block"]))
+        cells = own.select("src", "source_size", "at", ends.alias("until"), F.explode(F.sequence(F.floor(F.col("at") / width), F.floor((ends - 1) / width))).alias("cell"))
+        given = slots.join(cells, "cell").filter((F.col("p") >= F.col("at")) & (F.col("p") < F.col("until"))).select("src", "source_size", "id")
+        ranked = running(given, ["src"], ["id"], F.lit(1), "r")
+        blocks = F.ceil(F.col("source_size") / s["block"])
+        taken = ranked.filter(F.col("r") < blocks * CAP).groupBy("src", (F.col("r") % blocks).alias("b")).agg(F.count(F.lit(1)).alias("times"))
+        found = taken if found is None else found.unionByName(taken)
+    return found if found is not None else goals.select("src", F.col("at").alias("b"), F.lit(0).cast("long").alias("times")).limit(0)
 
 
 def schedule(sized: DataFrame, block: int = BLOCK) -> DataFrame:
     """`sizes` rows with source_size, target, and first, second: words taken in the first and the second pass."""
-    goals = targets(sized)
+    goals = targets(sized, block)
     known = sized.withColumn("turn", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).join(
-        goals.select(F.col("source").alias("_source"), "src", "source_size", "target"), F.col("source").eqNullSafe(F.col("_source"))
+        goals.select(F.col("source").alias("_source"), "src", "source_size", "target", "block"), F.col("source").eqNullSafe(F.col("_source"))
     ).drop("_source")
     placed = cut(running(known, ["src"], ["turn", "size", "key"], F.col("size"), "start"))
-    end = F.col("start") + F.col("size")
-    touched = placed.filter("size > 0").select("src", "start", end.alias("until"), F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))).alias("b"))
-    words = F.least(F.col("until"), (F.col("b") + 1) * block) - F.greatest(F.col("start"), F.col("b") * block)
-    taken = touched.join(passes(goals, block), ["src", "b"]).groupBy("src", "start").agg(*(F.sum(F.when(F.col("times") >= k, words).otherwise(0)).alias(n) for k, n in ((1, "first"), (2, "second"))))
+    end, width = F.col("start") + F.col("size"), F.col("block")
+    touched = placed.filter("size > 0").select("src", "start", "block", end.alias("until"), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((end - 1) / width))).alias("b"))
+    words = F.least(F.col("until"), (F.col("b") + 1) * width) - F.greatest(F.col("start"), F.col("b") * width)
+    taken = touched.join(passes(goals), ["src", "b"]).groupBy("src", "start").agg(*(F.sum(F.when(F.col("times") >= k, words).otherwise(0)).alias(n) for k, n in ((1, "first"), (2, "second"))))
     some = F.col("size") > 0
     back = placed.join(taken.withColumn("some", F.lit(True)), (placed.src == taken.src) & (placed.start == taken.start) & some, "left")
     return back.select("doc_id", "key", "size", "source_size", "target", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("first", "second")))
@@ -121,13 +135,14 @@ ordered AS (SELECT *, {SHARE}::DOUBLE * sum(source_size) OVER () AS pot, coalesc
   WINDOW before AS (ORDER BY most / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), rest AS (ORDER BY most / w, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 level AS (SELECT arg_min((pot - full_words) / open_weight, most / w) AS level FROM ordered WHERE (pot - full_words) / open_weight <= most / w),
 goal AS (SELECT source, src, source_size, least(most, level * w) AS target FROM w, level),
-quota AS (SELECT *, round(target)::BIGINT AS quota, ceil(source_size / {BLOCK})::BIGINT AS blocks FROM goal),
-laid AS (SELECT *, (sum(quota) OVER (ORDER BY src) - quota)::BIGINT AS lead, (sum(quota) OVER ())::BIGINT AS total FROM quota),
-slots AS (SELECT i, floor((i * {GOLDEN}::DOUBLE % 1.0::DOUBLE) * e)::BIGINT AS p FROM (SELECT unnest(range(ceil(e / {BLOCK})::BIGINT)) AS i, e FROM (SELECT max(total) AS e FROM laid))),
-given AS (SELECT src, blocks, row_number() OVER (PARTITION BY src ORDER BY i) - 1 AS r FROM slots JOIN laid ON p >= lead AND p < lead + quota),
+quota AS (SELECT *, round(target)::BIGINT AS quota, CASE WHEN round(target) < {FINE} THEN 1 ELSE {BLOCK} END::BIGINT AS width FROM goal),
+laid AS (SELECT *, ceil(source_size / width)::BIGINT AS blocks, (sum(quota) OVER (PARTITION BY width ORDER BY src) - quota)::BIGINT AS lead, (sum(quota) OVER (PARTITION BY width))::BIGINT AS total FROM quota),
+slots AS (SELECT width, i, floor((((i >> 20) * {HIGH}::DOUBLE % 1.0::DOUBLE + (i & 1048575) * {GOLDEN}::DOUBLE % 1.0::DOUBLE) % 1.0::DOUBLE) * e)::BIGINT AS p
+  FROM (SELECT width, unnest(range(ceil(e / width)::BIGINT)) AS i, e FROM (SELECT width, max(total) AS e FROM laid GROUP BY width))),
+given AS (SELECT src, blocks, row_number() OVER (PARTITION BY src ORDER BY i) - 1 AS r FROM slots JOIN laid ON slots.width = laid.width AND p >= lead AND p < lead + quota),
 times AS (SELECT src, r % blocks AS b, count(*) AS times FROM given WHERE r < {CAP} * blocks GROUP BY ALL),
-placed AS (SELECT doc_id, size, src, source_size, target, sum(size) OVER (PARTITION BY src ORDER BY md5(doc_id::VARCHAR), size ROWS UNBOUNDED PRECEDING) - size AS start FROM sized JOIN goal ON sized.source IS NOT DISTINCT FROM goal.source),
-touched AS (SELECT *, unnest(range((start // {BLOCK})::BIGINT, ((start + size - 1) // {BLOCK})::BIGINT + 1)) AS b FROM placed WHERE size > 0),
-taken AS (SELECT doc_id, sum((least(start + size, (b + 1) * {BLOCK}) - greatest(start, b * {BLOCK})) * times) AS taken FROM touched JOIN times USING (src, b) GROUP BY doc_id)
+placed AS (SELECT doc_id, size, src, source_size, target, width, sum(size) OVER (PARTITION BY src ORDER BY md5(doc_id::VARCHAR), size ROWS UNBOUNDED PRECEDING) - size AS start FROM sized JOIN quota ON sized.source IS NOT DISTINCT FROM quota.source),
+touched AS (SELECT *, unnest(range((start // width)::BIGINT, ((start + size - 1) // width)::BIGINT + 1)) AS b FROM placed WHERE size > 0),
+taken AS (SELECT doc_id, sum((least(start + size, (b + 1) * width) - greatest(start, b * width)) * times) AS taken FROM touched JOIN times USING (src, b) GROUP BY doc_id)
 SELECT doc_id, size, source_size, round(target, 6) AS target, coalesce(taken, 0)::BIGINT AS taken FROM placed LEFT JOIN taken USING (doc_id)
 """

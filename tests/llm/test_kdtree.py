@@ -9,21 +9,21 @@ from lithic.llm import kdtree
 def slow(rows, k=10):
     good = []
     for i, (vec_id, v, _) in enumerate(rows):
-        if v is not None and vec_id is not None and all(x is not None and math.isfinite(x) for x in v):
+        if v is not None and all(x is not None and math.isfinite(x) for x in v):
             good.append((i, vec_id, [math.floor(1024 * float(x)) for x in v]))
     out = []
     for i, q, a in good:
-        if q % 100 == 0:
-            ranked = sorted((-sum(x * y for x, y in zip(a, b)), v) for j, v, b in good if j != i)
-            out += [(q, r + 1, v, -s) for r, (s, v) in enumerate(ranked[:k])]
-    return sorted(out)
+        if q is not None and q % 100 == 0:
+            ranked = sorted((-sum(x * y for x, y in zip(a, b)), v is None, v or 0) for j, v, b in good if j != i)
+            out += [(q, r + 1, None if none else v, -s) for r, (s, none, v) in enumerate(ranked[:k])]
+    return sorted(out, key=str)
 
 
 def check(spark, rows, shard_rows):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int").repartition(3)
     got = kdtree.top_k(df, F.col("vec_id") % 100 == 0, shard_rows=shard_rows)
     assert got.columns == ["query_id", "rank", "vec_id", "score"]
-    assert sorted(map(tuple, got.collect())) == slow([(a, None if b is None else [None if x is None else float(__import__("numpy").float32(x)) for x in b], c) for a, b, c in rows])
+    assert sorted(map(tuple, got.collect()), key=str) == slow([(a, None if b is None else [None if x is None else float(__import__("numpy").float32(x)) for x in b], c) for a, b, c in rows])
 
 
 def test_matches_brute_force(spark):

@@ -43,6 +43,14 @@ def test_mix(spark):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(7)).collect()))
 
 
+def test_small_sources_come_near_their_targets(spark):
+    rows = [(i, " ".join(["w"] * n), s) for i, (s, n) in enumerate([("big", 4000), ("a", 10), ("b", 20), ("c", 3), ("d", 30), ("d", 0), ("e", 1)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for r in mixing.mix(docs).collect():
+        if r.size:
+            assert abs(r.taken - r.target) <= max(2, 0.02 * r.target), r
+
+
 def test_mixed_rows(spark):
     docs, _ = documents(spark, 80)
     out = mixing.mixed(docs)
