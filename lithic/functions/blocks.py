@@ -229,7 +229,12 @@ def call_list(text: pd.Series) -> pd.Series:
     return text.map(lambda t: calls(t) if t else [])
 
 
-_IF = re.compile(r"^(?:\}\s*)?(else\s+)?if\s*\(", re.S)
+_IF = re.compile(r"(?:\}\s*)?(else\s+)?if\s*\(", re.S)
+_ELSE = re.compile(r"else\b")
+_ALONE = re.compile(r"import|export|const|let|var")
+_LEADS = re.compile(r"(?:const|let|var|return|await|import|export|[\w.]+\s*[+\-*/]?=[^=]|[\w.]+\()")
+#: Characters at the end of an open statement that tell whether it goes on.
+_TAIL = 16
 _OPEN_TAIL = re.compile(r"(?:=>|[=+\-*/%&|<>?:,(\[.]|\breturn)\s*$")
 _CONTINUES = re.compile(r"\s*(?:[.?:+*/%&|)\]=]|-(?!-))")
 
@@ -246,74 +251,92 @@ def _condition(head: str) -> tuple[str | None, str]:
 
 
 def statements(text: str, code: str) -> list[tuple[int, str, str | None]]:
-    """(line, statement, innermost if condition) of a brace-style file, blocks flattened."""
+    """(line, statement, innermost if condition) of a brace-style file, blocks flattened.
+
+    An open statement is not read again at each line end or brace: its first and last solid characters are carried along.
+    """
     out: list[tuple[int, str, str | None]] = []
     conds: list[str | None] = []
     start, depth, last_if = 0, 0, None
     line, counted = 1, 0  # the line of the place up to which line breaks were counted
     braces: list[bool] = []  # True for a block, False for an object literal
-
-    def emit(end: int) -> str:
-        nonlocal start, last_if, line, counted
-        raw, lead = text[start:end].strip(), len(code[start:end]) - len(code[start:end].lstrip())
-        place = start + lead
+    first, last, seen = -1, 0, 0  # first solid character of the open statement, end of the last one, place up to which was looked
+
+    def look(end: int) -> None:
+        """Move on to `end`."""
+        nonlocal first, last, seen
+        piece = code[seen:end]
+        solid = piece.strip()
+        if solid:
+            last = seen + len(piece.rstrip())
+            if first < 0:
+                first = seen + len(piece) - len(piece.lstrip())
+        seen = end
+
+    def begin(at: int) -> None:
+        nonlocal start, first, last, seen
+        start = seen = last = at
+        first = -1
+
+    def emit(end: int) -> None:
+        nonlocal last_if, line, counted
+        raw, place = text[start:end].strip(), first if first >= 0 else end
         line, counted = line + code.count("\n", counted, place), place
-        at = line
-        cond, begin = (conds[-1] if conds else None), start
-        start = end + 1
-        head = code[begin:end].strip()
-        if _IF.match(head):
+        cond = conds[-1] if conds else None
+        if first < 0:
+            return
+        if _IF.match(code, first, end):
             c, rest = _condition(raw)
             last_if = c
             if rest:
-                out.append((at, rest, c))
-        elif re.match(r"^else\b", head):
+                out.append((line, rest, c))
+        elif _ELSE.match(code, first, end):
             rest = raw[4:].strip()
             if rest:
-                out.append((at, rest, f"!({last_if})" if last_if else cond))
-        elif head:
-            out.append((at, raw, cond))
-        return head
+                out.append((line, rest, f"!({last_if})" if last_if else cond))
+        else:
+            out.append((line, raw, cond))
 
     for m in re.finditer(r"[\n{}();\[\]]", code):
         ch, i = m.group(0), m.start()
+        look(i)
         if ch in "([":
             depth += 1
         elif ch in ")]":
             depth = max(depth - 1, 0)
         elif ch == "{":
-            head = code[start:i].strip()
-            literal = depth > 0 or (head and bool(_OPEN_TAIL.search(head)) and not head.endswith("=>")) or bool(re.match(r"^(?:import|export)$|^(?:const|let|var)$", head))
+            tail = code[max(first, last - _TAIL) : last] if first >= 0 else ""
+            literal = depth > 0 or bool(_OPEN_TAIL.search(tail) and not tail.endswith("=>")) or (first >= 0 and last - first <= 6 and bool(_ALONE.fullmatch(code, first, last)))
             braces.append(not literal)
             if literal:
                 depth += 1
                 continue
             inner = conds[-1] if conds else None
-            if _IF.match(head):
+            if first >= 0 and _IF.match(code, first, i):
                 last_if, _ = _condition(text[start:i].strip())
                 inner = last_if
-            elif re.match(r"^else\b", head):
+            elif first >= 0 and _ELSE.match(code, first, i):
                 inner = f"!({last_if})" if last_if else inner
             conds.append(inner)
-            start = i + 1
+            begin(i + 1)
         elif ch == "}":
             if braces and braces.pop():
-                if code[start:i].strip():
+                if first >= 0:
                     emit(i)
                 if conds:
                     closed = conds.pop()
                     last_if = closed if closed and not closed.startswith("!(") else last_if
-                start = i + 1
+                begin(i + 1)
             else:
                 depth = max(depth - 1, 0)
         elif ch == ";" and depth == 0:
             emit(i)
-        elif ch == "\n" and depth == 0:
-            head = code[start:i].rstrip()
-            ended = head.strip() and not _OPEN_TAIL.search(head) and not _CONTINUES.match(code, i)
+            begin(i + 1)
+        elif ch == "\n" and depth == 0 and first >= 0:
             # Without semicolons a complete line is a statement; annotations wait for what they mark.
-            if ended and re.match(r"^\s*(?:const|let|var|return|await|import|export|[\w.]+\s*[+\-*/]?=[^=]|[\w.]+\()", head) and not re.search(r"\)\s*$", head[: head.find("(")] if "(" in head else ""):
+            if not _OPEN_TAIL.search(code[max(first, last - _TAIL) : last]) and not _CONTINUES.match(code, i) and _LEADS.match(code, first, last):
                 emit(i)
+                begin(i + 1)
     return out
 
 

@@ -80,7 +80,12 @@ _JS_METHOD = (
 )
 _JS_IMPORT = [r"(?m)^[ \t]*import\b[^;'\"`]*['\"][^'\"]+['\"]", r"\brequire\(\s*['\"][^'\"]+['\"]\s*\)"]
 _JS_BRANCH = r"\b(?:if|for|while|do|catch|else)\b|&&|\|\||\?\?|\s\?\s"
-_JS = [_JS_FN, _JS_ARROW, _JS_METHOD]
+#: The first function without a name on a line, unless the line gives it one; what follows the hit is its body.
+ANONYMOUS = (
+    r"(?m)^(?![ \t]*(?:export\s+)?(?:const|let|var)\s+\w+\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:function\b|\([^()\n]*\)\s*(?::[^=\n]+)?=>|\w+\s*=>))"
+    r"[^\n]*?(?:\([^()\n]*\)[ \t]*(?::[^=\n]+)?=>|(?<![\w$.])[A-Za-z_$][\w$]*[ \t]*=>|(?<![\w$.])function[ \t]*\*?[ \t]*\([^()\n]*\))"
+)
+_JS = [_JS_FN, _JS_ARROW, _JS_METHOD, ANONYMOUS]
 _TS_CLASSES = [
     ("class", _L + r"(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)"),
     ("interface", _L + r"(?:export\s+)?interface\s+(\w+)"),

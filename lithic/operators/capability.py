@@ -9,6 +9,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lithic.functions import rules
 from lithic.functions import taxonomy as T
@@ -112,6 +113,35 @@ def capabilities(ev: DataFrame, ev_files: DataFrame, files: DataFrame, caps: lis
     )
 
 
+#: Entries of the evidence lists of a capability.
+LISTED = {"files": 60, "routes": 20, "tables": 20, "deps": 20, "symbols": 24, "env": 12}
+
+
+def evidence_lists(caps: DataFrame, ev: DataFrame, ev_files: DataFrame, listed: dict[str, int] = LISTED) -> DataFrame:
+    """(id, files, routes, tables, deps, symbols, env): what each capability is claimed from, in the order of the names.
+
+    Files are those that are no tests, or all if there are no others. The first entries of a list are chosen by a pruned window, which
+    drops the rest of a key in each task before anything is shuffled.
+    """
+    one = ev.filter(~F.col("is_test") & (F.col("signal") != "name")).select("cap", F.concat(F.col("signal"), F.when(F.col("signal") == "env", "").otherwise("s")).alias("list"), "item")
+    has = ev_files.groupBy("cap").agg(F.max(~F.col("is_test")).alias("has_impl"))
+    files = ev_files.join(has, "cap").filter(~F.col("has_impl") | ~F.col("is_test")).select("cap", F.lit("files").alias("list"), F.col("file").alias("item"))
+    lists = one.unionByName(files).distinct()
+    most = None
+    for name, n in listed.items():
+        most = F.when(F.col("list") == name, n) if most is None else most.when(F.col("list") == name, n)
+    rank = F.row_number().over(Window.partitionBy("cap", "list").orderBy("item"))
+    first = lists.withColumn("rank", rank).filter(F.col("rank") <= max(listed.values())).filter(F.col("rank") <= most)
+    of = lambda name: F.transform(F.sort_array(F.collect_list(F.when(F.col("list") == name, F.struct("rank", "item")))), lambda x: x["item"]).alias(name)
+    return caps.select(F.col("id").alias("cap")).join(first, "cap").groupBy(F.col("cap").alias("id")).agg(*map(of, listed))
+
+
+def kinds(caps: DataFrame) -> DataFrame:
+    """(kind, capabilities, confident, confident_share): the split by kind, and how many are confident."""
+    sure = F.count_if(F.col("confidence") >= 0.75)
+    return caps.groupBy("kind").agg(F.count("*").alias("capabilities"), sure.alias("confident"), (sure / F.count("*")).alias("confident_share"))
+
+
 def owners(caps: DataFrame, ev_files: DataFrame) -> DataFrame:
     """(file, owner): the capability with the smallest kind rank minus confidence."""
     ranked = ev_files.join(F.broadcast(caps.select(F.col("id").alias("cap"), "kind_rank", "confidence", "ord")), "cap")

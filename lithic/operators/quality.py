@@ -129,8 +129,8 @@ def metric_summary(files, functions, imports, cycles: DataFrame) -> DataFrame:
         large_files=count_of(files.filter(F.col("loc") >= LARGE_FILE)),
         large_functions=count_of(functions.filter(F.col("loc") >= LARGE_FUNCTION)),
         complex_functions=count_of(functions.filter(F.col("complexity") >= COMPLEX_FUNCTION)),
-        duplicate_names=F.least(count_of(duplicate_names(functions, None)), F.lit(DUPLICATE_NAME_LIMIT)),
-        duplicate_blocks=F.least(count_of(duplicate_blocks(functions, None)), F.lit(DUPLICATE_BLOCK_LIMIT)),
+        duplicate_names=count_of(duplicate_names(functions, None)),
+        duplicate_blocks=count_of(duplicate_blocks(functions, None)),
         parse_errors=count_of(files.filter("has_parse_error")),
         layer_violations=count_of(layer_violations(imports)),
         undocumented=count_of(functions.filter(F.col("doc").isNull() & (F.col("loc") >= BIG_UNDOCUMENTED))),

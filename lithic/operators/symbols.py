@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lithic.functions.blocks import code_blocks
-from lithic.functions.languages import CALL, CODE_LANGUAGES, COMMENT_LINE, GRAMMARS, NOT_CALLS
+from lithic.functions.languages import ANONYMOUS, CALL, CODE_LANGUAGES, COMMENT_LINE, GRAMMARS, NOT_CALLS
 from lithic.functions.rules import first_match
 from lithic.functions.text import squeeze
 from lithic.operators.scan import matches
@@ -19,6 +19,8 @@ DOC_MARKERS = r"(?m)/\*\*?|\*/|^\s*\*\s?|^\s*//\s?|^\s*#\s?"
 MAX_CALL = 80
 MAX_DOC = 400
 MAX_RAW = 200
+#: The name of functions that have none.
+NAMELESS = "(anonymous)"
 
 
 def _by_lang(values: dict[str, str], lang: Column) -> Column:
@@ -110,7 +112,8 @@ def functions(parsed: DataFrame, only: list[str] | None = None) -> DataFrame:
 def first_spec_name(m: Column, specs: list[tuple[str, str]]) -> Column:
     out = F.lit("")
     for i, (rx, _) in enumerate(specs):
-        out = F.when(m["spec"] == i, F.regexp_extract(m["hit"], rx, 1)).otherwise(out)
+        name = F.lit(NAMELESS) if rx == ANONYMOUS else F.regexp_extract(m["hit"], rx, 1)
+        out = F.when(m["spec"] == i, name).otherwise(out)
     return out
 
 
@@ -181,3 +184,22 @@ def file_records(files: DataFrame, fns: DataFrame) -> DataFrame:
         F.count("*").alias("functions"), F.sum("complexity").alias("complexity")
     )
     return base.join(per_file, "path", "left").fillna(0, ["functions", "complexity"])
+
+
+def broken(parsed: DataFrame) -> DataFrame:
+    """(path): files with brackets that do not pair up, outside comments and strings.
+
+    The depth of each kind of bracket is a running sum over the file that may not fall below zero and ends there. Languages whose
+    blocks end by a word are left out, as their case labels have lone brackets.
+    """
+    kinds = ("()", "[]", "{}")
+    marks = F.regexp_extract_all(F.col("code"), F.lit(r"[()\[\]{}]"), F.lit(0))
+    step = lambda acc, m: F.struct(
+        *((acc[f"d{i}"] + F.when(m == a, 1).when(m == b, -1).otherwise(0)).alias(f"d{i}") for i, (a, b) in enumerate(kinds)),
+        F.least(acc["low"], *(acc[f"d{i}"] - F.when(m == b, 1).otherwise(0) for i, (_, b) in enumerate(kinds))).alias("low"),
+    )
+    zero = F.struct(*(F.lit(0).alias(f"d{i}") for i in range(len(kinds))), F.lit(0).alias("low"))
+    depth = F.aggregate(marks, zero, step)
+    word_ends = [lang for lang, g in GRAMMARS.items() if g.style == "end"]
+    checked = parsed.filter(~F.col("lang").isin(word_ends)).select("path", depth.alias("d"))
+    return checked.filter((F.col("d.low") < 0) | (F.col("d.d0") != 0) | (F.col("d.d1") != 0) | (F.col("d.d2") != 0)).select("path")

@@ -126,8 +126,8 @@ m_summary as materialized (select (select count(*) from cyc) as circular,
  (select count(*) from m_files where functions > 0 and path not in (select resolved from m_imports) and not regexp_matches(path, '(^|/)(test|tests|spec)(/|$)')) as dead,
  (select count(*) from m_files where loc >= 400) as large_files, (select count(*) from m_functions where loc >= 60) as large_functions,
  (select count(*) from m_functions where complexity >= 12) as complex_functions,
- least((select count(*) from (select name from m_functions where length(name) >= 3 group by name having count(distinct file) > 2)), 100) as duplicate_names,
- least((select count(*) from (select 1 from m_functions where loc >= 8 group by name, loc, complexity having count(*) > 1)), 60) as duplicate_blocks,
+ (select count(*) from (select name from m_functions where length(name) >= 3 group by name having count(distinct file) > 2)) as duplicate_names,
+ (select count(*) from (select 1 from m_functions where loc >= 8 group by name, loc, complexity having count(*) > 1)) as duplicate_blocks,
  (select count(*) from m_files where has_parse_error) as parse_errors,
  (select count(*) from lv where (a = 'ui' and b in ('data','api')) or (a = 'data' and b = 'ui')) as layer_violations,
  (select count(*) from m_functions where doc is null and loc >= 15) as undocumented)

@@ -275,6 +275,28 @@ def capabilities(spark, sf):
     return Systems(Warehouse(spark, sf)).caps.drop("kind_rank", "ord", "why", "users")
 
 
+def _first(name: str, rows: str, n: int) -> str:
+    return f"(select string_agg(item, '|' order by item) from (select item from (select distinct item from {rows}) order by item limit {n})) as {name}"
+
+
+@query("capability_evidence_lists", oracle(_CAPS + "select id, " + ", ".join([
+    _first("files", "(select f.file as item from m_evf f join sp on sp.cap = f.cap where f.cap = m_caps.id and (impl = 0 or not is_test))", 60),
+    *(_first(name, f"(select p.item from m_points p where p.cap = m_caps.id and p.signal = '{signal}' and not is_test)", n)
+      for name, signal, n in (("routes", "route", 20), ("tables", "table", 20), ("deps", "dep", 20), ("symbols", "symbol", 24), ("env", "env", 12))),
+]) + " from m_caps"))
+def capability_evidence_lists(spark, sf):
+    s = Systems(Warehouse(spark, sf))
+    lists = C.evidence_lists(s.caps, s.ev, s.files)
+    text = lambda c: F.when(F.size(c) > 0, F.array_join(c, "|")).alias(c)
+    return lists.select("id", *map(text, C.LISTED))
+
+
+@query("capability_kinds", oracle(_CAPS + """select kind, count(*) as capabilities, count(*) filter (confidence >= 0.75) as confident,
+ count(*) filter (confidence >= 0.75) / count(*)::double as confident_share from m_caps group by kind"""))
+def capability_kinds(spark, sf):
+    return C.kinds(Systems(Warehouse(spark, sf)).caps)
+
+
 @query("owner_argmin", oracle(_CAPS + _RESOLVED + _OWN + "select file, owner from m_own"))
 def owner_argmin(spark, sf):
     s = Systems(Warehouse(spark, sf))

@@ -185,3 +185,51 @@ def source_range(spark, sf):
     docs = documents(Warehouse(spark, sf))
     last = docs.agg(F.max("path")).first()[0]
     return scan.source_lines(docs, last, 2)
+
+
+#: A file of callbacks for each order: in a call, over several lines, as an argument, and one that gets a name.
+_CALLBACKS = """app.get("/orders/{k}", (req, res) => {
+  make{c}(req);
+  items.forEach(x => keep{k}(x));
+});
+run(async function () {
+  await load{c}();
+});
+const named{k} = (a) => pack{k}(a);
+"""
+
+
+def callbacks(w: Warehouse):
+    text = F.lit(_CALLBACKS)
+    for name, column in (("{k}", "o_orderkey"), ("{c}", "o_custkey")):
+        text = F.replace(text, F.lit(name), F.col(column).cast("string"))
+    o = w.table("orders")
+    return o.select(F.concat(F.lit("web/cb_"), F.col("o_orderkey"), F.lit(".js")).alias("path"), F.lit("javascript").alias("lang"), F.lit(None).cast("string").alias("meta"), text.alias("text")).withColumn("size", F.length("text").cast("long"))
+
+
+@query(
+    "anonymous_functions",
+    """with o as (select 'web/cb_' || o_orderkey || '.js' as file, o_orderkey k, o_custkey c from orders), f as (
+ select file, '(anonymous)' as name, 1 as line, 4 as end_line, 'make' || c || ',forEach,keep' || k as calls, false as async from o
+ union all select file, '(anonymous)', 3, 3, 'keep' || k, false from o union all select file, '(anonymous)', 5, 7, 'load' || c, true from o
+ union all select file, 'named' || k, 8, 8, 'pack' || k, false from o)
+ select file || '::' || name || '#' || line as id, file, name, line, end_line, calls, async from f""",
+)
+def anonymous_functions(spark, sf):
+    f = symbols.functions(symbols.parse(spread(callbacks(Warehouse(spark, sf)))))
+    return f.select("id", "file", "name", "line", "end_line", F.array_join("calls", ",").alias("calls"), "async")
+
+
+@query(
+    "parse_errors",
+    _O + """select case p when '1-URGENT' then 'python' when '2-HIGH' then 'typescript' when '3-MEDIUM' then 'java' else 'go' end as lang,
+ count(*) as files, count(*) filter (k % 7 = 0) as broken from o where p <> '5-LOW' group by 1""",
+)
+def parse_errors(spark, sf):
+    """Every seventh order's file lacks its last characters, and with them a closing bracket."""
+    source = corpus(Warehouse(spark, sf)).filter("lang is not null")
+    torn = F.regexp_extract("path", r"(\d+)(?:Service)?\.\w+$", 1).cast("long") % 7 == 0
+    source = source.withColumn("text", F.when(torn, F.expr("substring(text, 1, length(text) - 3)")).otherwise(F.col("text")))
+    parsed = symbols.parse(spread(source))
+    bad = symbols.broken(parsed).withColumn("bad", F.lit(1))
+    return parsed.select("path", "lang").join(bad, "path", "left").groupBy("lang").agg(F.count("*").alias("files"), F.count("bad").alias("broken"))
