@@ -83,6 +83,10 @@ def functions(parsed: DataFrame, only: list[str] | None = None) -> DataFrame:
 
     def record(m: Column) -> Column:
         line, end = _span(m)
+        after = F.substr(F.element_at(F.col("code_lines"), line), F.length(m["hit"]) + 1)
+        # An arrow whose body is an expression that this line completes ends here.
+        whole = F.regexp_count(after, F.lit(r"[(\[{]")) <= F.regexp_count(after, F.lit(r"[)\]}]"))
+        end = F.when(m["hit"].rlike(r"=>\s*$") & after.rlike(r"^\s*[^\s{]") & whole, line).otherwise(end)
         body = F.array_join(F.slice(F.col("code_lines"), line, end - line + 1), "\n")
         # Definition patterns are anchored at the line start, so the rest of the body follows the hit.
         inner = F.substr(body, F.length(m["hit"]) + 1)
