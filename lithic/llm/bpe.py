@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from lithic.llm.common import bounded_batches, strings, text_slices
 
 #: Most determinised states that a worker keeps; encoded pieces and tested pairs in each of two generations.
-STATES, PIECES, PAIRS = 120_000, 150_000, 200_000
+STATES, PIECES, PAIRS = 180_000, 300_000, 200_000
 #: Ids that the decoder joins at once.
 CHUNK = 4096
 
