@@ -74,6 +74,40 @@ UPDATE orders_{c} SET id = {n};
 """),
 }
 
+# Values without a declared type: made, given back by calls, and copied on.
+VALUE_TEMPLATES = {
+    "2-HIGH": ("typescript", "vals/y{y}/box_{k}.ts", """export class Box{k} {{
+  open(n: number) {{
+    return n;
+  }}
+}}
+export async function make{k}() {{
+  const box = new Box{k}();
+  return box;
+}}
+export async function take{k}(x) {{
+  const got = await make{k}();
+  got.open({n});
+  const more = [x];
+  return got;
+}}
+"""),
+    "3-MEDIUM": ("java", "vals/y{y}/Flow{k}.java", """package vals.y{y};
+public class Flow{k} {{
+  public Flow{c} next(int x) {{
+    return null;
+  }}
+  public int run(int x) {{
+    var first = new Flow{c}();
+    var second = first.next(x);
+    var third = second;
+    third.run({n});
+    return x;
+  }}
+}}
+"""),
+}
+
 
 def _fill(template: str):
     """Template text -> concat expression over the order columns."""
@@ -88,8 +122,8 @@ def _fill(template: str):
     return F.concat(*pieces)
 
 
-def corpus(w: Warehouse) -> DataFrame:
-    """(path, lang, meta, size, text) of all orders."""
+def corpus(w: Warehouse, templates: dict[str, tuple] = TEMPLATES) -> DataFrame:
+    """(path, lang, meta, size, text) of all orders whose priority has a template."""
     o = w.table("orders").select(
         "o_orderpriority",
         F.col("o_orderkey").cast("string").alias("k"),
@@ -99,12 +133,12 @@ def corpus(w: Warehouse) -> DataFrame:
         F.substring(F.sha1(F.col("o_orderkey").cast("string")), 1, 20).alias("h"),
     )
     path = lang = text = None
-    for prio, (g, p, t) in TEMPLATES.items():
+    for prio, (g, p, t) in templates.items():
         cond, lit = F.col("o_orderpriority") == prio, F.lit(g).cast("string")
         path = F.when(cond, _fill(p)) if path is None else path.when(cond, _fill(p))
         lang = F.when(cond, lit) if lang is None else lang.when(cond, lit)
         text = F.when(cond, _fill(t)) if text is None else text.when(cond, _fill(t))
-    return o.select(path.alias("path"), lang.alias("lang"), F.lit(None).cast("string").alias("meta"), text.alias("text")).withColumn(
+    return o.filter(F.col("o_orderpriority").isin(list(templates))).select(path.alias("path"), lang.alias("lang"), F.lit(None).cast("string").alias("meta"), text.alias("text")).withColumn(
         "size", F.length("text").cast("long")
     )
 
