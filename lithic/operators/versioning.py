@@ -150,20 +150,55 @@ def sample_evenly(df: DataFrame, order: list[str], points: int = TIMELINE_POINTS
 
 def timeline_counts(trees: DataFrame, path: str = "path") -> DataFrame:
     """Structural counts per commit of its file list (commit, path)."""
-    p = F.col(path)
-    ext = F.regexp_extract(p, r"(\.[^.]*)$", 1)
-    code = ext.isin(TIMELINE_EXTS)
-    hit: Column = F.count_if
+    ext, signals = _signals(F.col(path))
     return trees.groupBy("commit").agg(
         F.count("*").alias("files"),
-        hit(code).alias("code"),
-        hit(p.rlike(TIMELINE_ROUTES)).alias("routes"),
-        hit(p.rlike(TIMELINE_TABLES)).alias("tables"),
-        hit(F.lower(p).rlike(TIMELINE_TESTS)).alias("tests"),
-        F.count_distinct(F.when(code, ext)).alias("langs"),
+        *[F.count_if(hit).alias(name) for name, hit in signals.items()],
+        F.count_distinct(F.when(signals["code"], ext)).alias("langs"),
     )
 
 
+def _signals(p: Column) -> tuple[Column, dict[str, Column]]:
+    """Extension of a path and the structural signals that the timeline counts."""
+    ext = F.regexp_extract(p, r"(\.[^.]*)$", 1)
+    return ext, {
+        "code": ext.isin(TIMELINE_EXTS), "routes": p.rlike(TIMELINE_ROUTES), "tables": p.rlike(TIMELINE_TABLES), "tests": F.lower(p).rlike(TIMELINE_TESTS)
+    }
+
+
+def validity(changes: DataFrame) -> DataFrame:
+    """(path, since, until): when each path was in the tree, from its changes (commit, path, deleted).
+
+    Commits are ordered by their value; `until` is the commit that deleted the path, null while it is there. A path
+    that one commit both deletes and writes stays. Deleting what is not there changes nothing.
+    """
+    per = changes.groupBy("path", "commit").agg(F.min("deleted").alias("deleted"))
+    w = Window.partitionBy("path").orderBy("commit")
+    flips = per.withColumn("was", F.coalesce(F.lag("deleted").over(w), F.lit(True))).filter(F.col("deleted") != F.col("was"))
+    return flips.withColumn("until", F.lead("commit").over(w)).filter(~F.col("deleted")).select("path", F.col("commit").alias("since"), "until")
+
+
+def timeline_of(intervals: DataFrame, samples: DataFrame) -> DataFrame:
+    """The counts of `timeline_counts` at sampled commits, from validity intervals (path, since, until).
+
+    No listing is built. Each end of an interval adds or takes away one file at the first sample that sees it, so
+    the sums have a row per sample; running sums over the samples (commit), a bounded number, give the counts.
+    """
+    points = samples.agg(F.sort_array(F.collect_set("commit"))).scalar()
+    ends = intervals.select("path", F.explode(F.array(
+        F.struct(F.col("since").alias("at"), F.lit(1).alias("sign")), F.struct(F.col("until").alias("at"), F.lit(-1).alias("sign"))
+    )).alias("e")).select("path", "e.*").filter("at is not null")
+    seen = ends.withColumn("points", points).withColumn("commit", F.array_min(F.filter("points", lambda s: s >= F.col("at")))).filter("commit is not null")
+    ext, signals = _signals(F.col("path"))
+    langs = [f"__{e}" for e in range(len(TIMELINE_EXTS))]
+    tests = {"files": F.lit(True), **signals, **{c: ext == e for c, e in zip(langs, TIMELINE_EXTS, strict=True)}}
+    moved = seen.groupBy("commit").agg(*[F.sum(F.when(t, F.col("sign")).otherwise(0)).alias(c) for c, t in tests.items()])
+    w = Window.orderBy("commit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = samples.select("commit").distinct().join(moved, "commit", "left").select("commit", *[F.coalesce(F.sum(f"`{c}`").over(w), F.lit(0)).alias(c) for c in tests])
+    alive = [F.when(F.col(c) > 0, 1).otherwise(0) for c in langs]
+    return run.select("commit", "files", *signals, sum(alive[1:], alive[0]).cast("long").alias("langs"))
+
+
 def percent_of_max(df: DataFrame, value: str) -> DataFrame:
     """Bars of a chart: each value as a share of the largest."""
     top = F.greatest(df.agg(F.max(value)).scalar(), F.lit(1))

@@ -10,6 +10,7 @@ from lithic.plans.catalog_source import infra_paths
 from lithic.operators.scan import detect_infra
 from lithic.plans.registry import query
 from lithic.plans.warehouse import Warehouse, oracle
+from lithic.session import cut
 
 
 
@@ -130,6 +131,24 @@ def timeline_counts(spark, sf):
     return V.timeline_counts(trees)
 
 
+@query("timeline_listing", oracle("""
+, ch as (select strftime(l_shipdate, '%Y-%m') as commit, path, bool_and(l_returnflag = 'R') as deleted from lineitem join m_paths on pk = l_partkey group by 1, 2),
+ cm as (select commit, row_number() over (order by commit) - 1 as i, count(*) over () as n from (select distinct commit from ch)),
+ sm as (select commit from cm where i % greatest(1, n // 24) = 0 or i = n - 1),
+ st as (select sm.commit, ch.path, arg_max(ch.deleted, ch.commit) as deleted from sm join ch on ch.commit <= sm.commit group by 1, 2), t as (select commit, path from st where not deleted)
+select sm.commit, count(path) as files, count(*) filter (regexp_matches(path, '\\.(ts|tsx|js|jsx|py|go|rs|java|kt|rb|php|cs|c|cpp|swift|dart|scala)$')) as code,
+ count(*) filter (regexp_matches(path, '/route\\.(ts|js|tsx|jsx)$|routes?\\.|controller|_controller|urls\\.py|routes\\.rb')) as routes,
+ count(*) filter (regexp_matches(path, 'migration|schema\\.|\\.sql$|models?\\.')) as tables, count(*) filter (regexp_matches(path, '(^|/)tests/')) as tests,
+ count(distinct regexp_extract(path, '(\\.[^.]*)$', 1)) as langs from sm left join t using (commit) group by 1"""))
+def timeline_listing(spark, sf):
+    """Counts of the tree at sampled commits; returned parts are deletions of their path."""
+    w = Warehouse(spark, sf)
+    changes = cut(w.table("lineitem").join(w.paths, F.col("l_partkey") == F.col("pk")).select(
+        F.date_format("l_shipdate", "yyyy-MM").alias("commit"), "path", (F.col("l_returnflag") == "R").alias("deleted")
+    ))
+    return V.timeline_of(V.validity(changes), V.sample_evenly(changes.select("commit").distinct(), ["commit"]))
+
+
 @query("churn", oracle("""
 , c as (select event_id from events order by ts desc, event_id desc limit 400)
 select path, count(*) as churn from events join c using (event_id) join m_paths on user_id = pk group by path"""))
