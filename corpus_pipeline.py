@@ -10,6 +10,8 @@ from lithic.llm import bpe, mixing, nearcopies, pii, quality
 from lithic.llm.common import table
 from lithic.session import cut
 
+#: Part of the encoder's memory that its workers use after the stages before, when Spark's heap has grown to its limit.
+ENCODER_SHARE = 1 / 6
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -41,7 +43,7 @@ def mixed_by_source(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, round_trip): the ids of each text, and whether they decode to it."""
     keyed = docs.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    coded = bpe.encoded(keyed, RANKS, public_tokenizers.PATTERN, ("doc_id", "lang", "source", "sha"))
+    coded = bpe.encoded(keyed, RANKS, public_tokenizers.PATTERN, ("doc_id", "lang", "source", "sha"), ENCODER_SHARE)
     return coded.select("doc_id", "lang", "source", "n_tokens", "ids", (F.sha2("decoded", 256) == F.col("sha")).alias("round_trip"))
 
 

@@ -42,16 +42,22 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], share: float = 1.0):
+        self.ranks, self.share = ranks, share
         self.bytes_of = {i: b for b, i in ranks.items()}
-        nodes = {b"": 0}
-        inner = {word[:i] for word in ranks for i in range(1, len(word))}
         #: By trie node and byte: the next node (0 if no token goes on there) and the token that ends there (or -1).
         self.edges: dict[int, tuple[int, int]] = {}
-        for prefix in sorted(inner | set(ranks), key=len):
-            node = nodes[prefix] = len(nodes) if prefix in inner else 0
-            self.edges[nodes[prefix[:-1]] << 8 | prefix[-1]] = node, ranks.get(prefix, -1)
+        nodes = 0
+        for word, token in ranks.items():
+            at = 0
+            for byte in word[:-1]:
+                node, ends = self.edges.get(at << 8 | byte, (0, -1))
+                if not node:
+                    nodes += 1
+                    node = nodes
+                    self.edges[at << 8 | byte] = node, ends
+                at = node
+            self.edges[at << 8 | word[-1]] = self.edges.get(at << 8 | word[-1], (0, -1))[0], token
         self.parts_of: dict[int, tuple[int, int] | None] = {}
         self.newer: dict[int, bool] = {}
         self.older: dict[int, bool] = {}
@@ -112,7 +118,7 @@ class Transducer:
         known = self.older.get(key)
         if known is None:
             known = self.may_follow(last, token)
-        if len(self.newer) >= PAIRS:
+        if len(self.newer) >= PAIRS * self.share:
             self.older, self.newer = self.newer, {}
         self.newer[key] = known
         return known
@@ -151,7 +157,7 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > STATES:
+        if len(self.states) > STATES * self.share:
             self._forget()
         state, moves, move = 0, self.moves, self._move
         chains: list[tuple | None] = [None]
@@ -205,8 +211,9 @@ class Decoder:
 class Coder:
     """Text to ids and back, with the pieces met lately remembered."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.fst, self.split = Transducer(ranks), regex.compile(pattern)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, share: float = 1.0):
+        self.fst, self.split = Transducer(ranks, share), regex.compile(pattern)
+        self.pieces = PIECES * share
         self.known: dict[str, tuple[tuple[int, ...], str]] = {}
         self.older: dict[str, tuple[tuple[int, ...], str]] = {}
 
@@ -216,7 +223,7 @@ class Coder:
             ids = tuple(self.fst.encode(piece.encode("utf-8", "surrogatepass")))
             entry = ids, ",".join(map(str, ids))
         if len(piece) < 64:
-            if len(self.known) >= PIECES:
+            if len(self.known) >= self.pieces:
                 self.older, self.known = self.known, {}
             self.known[piece] = entry
         return entry
@@ -251,25 +258,28 @@ def no_cycles() -> Iterator[None]:
             gc.enable()
 
 
-_coders: dict[tuple[int, str], Coder] = {}
+_coders: dict[tuple[int, str, float], Coder] = {}
 
 
-def coder(raw: bytes, pattern: str) -> Coder:
-    """The coder of a rank file, made once per process."""
-    key = hash(raw), pattern
+def coder(raw: bytes, pattern: str, share: float = 1.0) -> Coder:
+    """The coder of a rank file, made once per process; it remembers that share of the states, pairs and pieces above."""
+    key = hash(raw), pattern, share
     if key not in _coders:
-        _coders[key] = Coder(read_ranks(raw), pattern)
+        _coders[key] = Coder(read_ranks(raw), pattern, share)
     return _coders[key]
 
 
-def encoded(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep`, and ids, n_tokens, ids_text, decoded: the ids of each text as an array and as joined text, and the bytes they decode to."""
+def encoded(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), share: float = 1.0) -> DataFrame:
+    """The columns `keep`, and ids, n_tokens, ids_text, decoded: the ids of each text as an array and as joined text, and the bytes they decode to.
+
+    `share` is the part of the memory for states, pairs and pieces that a worker may use; results do not depend on it.
+    """
     docs = bounded_batches(docs)
     with open(ranks_path, "rb") as f:  # a vocabulary: its size does not depend on the corpus
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = coder(vocabulary.value, pattern)
+        use = coder(vocabulary.value, pattern, share)
         for batch in text_slices(batches, limit=1 << 19):
             with no_cycles():
                 entries = [use.entries(t) for t in strings(batch.column("text"))]

@@ -73,3 +73,15 @@ def test_query_rows(spark, theirs):
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
     assert queries.bpe_rows(docs.limit(0)).count() == 0
+
+
+def test_a_share_of_the_memory_gives_the_same_ids(monkeypatch):
+    for name, most in (("STATES", 60), ("PIECES", 60), ("PAIRS", 60)):
+        monkeypatch.setattr(bpe, name, most)
+    raw, text = open(PATH, "rb").read(), " ".join(f"w{i}x{i * 7919} unlikelyword{i}" for i in range(300))
+    whole, small = (bpe.Coder(bpe.read_ranks(raw), public_tokenizers.PATTERN, share) for share in (1.0, 0.1))
+    assert small.encode(text) == whole.encode(text) and small.decode(small.encode(text)) == text.encode()
+    for held, most in ((small.known, 6), (small.older, 6), (small.fst.newer, 6), (small.fst.older, 6)):
+        assert len(held) <= most
+    # states are dropped between pieces, so one piece may go beyond
+    assert len(small.fst.states) < len(whole.fst.states)
