@@ -85,3 +85,27 @@ def test_a_share_of_the_memory_gives_the_same_ids(monkeypatch):
         assert len(held) <= most
     # states are dropped between pieces, so one piece may go beyond
     assert len(small.fst.states) < len(whole.fst.states)
+
+
+def test_many_pieces_side_by_side(ours, theirs, monkeypatch):
+    rng = random.Random(8)
+    tokens = list(ours.fst.ranks)
+    pieces = [b"".join(rng.choice(tokens) for _ in range(rng.randint(1, 4))) for _ in range(5000)] + [bytes([b]) * n for b in (0, 97, 255) for n in (1, 2, 63)]
+    assert ours.fst.encode_many(pieces) == [tuple(theirs._encode_single_piece(p)) for p in pieces]
+    assert ours.fst.encode_many([]) == [] and ours.fst.encode_many([b"", b"ab"])[0] == ()
+    bits = [*"abcdefghijklmnopqrstuvwxyz", *" \n\t.,'éñß中文字😀👩‍👩", "the", "ing", "'s", "  ", "123", " ", "и", "्", "x" * 70]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 60))) for _ in range(2000)]
+    for together, pieces in ((1 << 15, 10**6), (7, 20)):
+        monkeypatch.setattr(bpe, "TOGETHER", together)
+        monkeypatch.setattr(ours, "pieces", pieces)
+        assert ours.encode_many(texts) == [theirs.encode_ordinary(t) for t in texts]
+
+
+def test_new_pieces_make_no_states():
+    rng = random.Random(9)
+    fresh = bpe.Coder(bpe.read_ranks(open(PATH, "rb").read()), public_tokenizers.PATTERN)
+    text = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(3000))
+    ids = fresh.encode_many([text])[0]
+    assert len(fresh.fst.states) < 100  # one by one they make more than 10,000
+    assert ids == fresh.encode(text) and fresh.decode(ids).decode() == text
+    assert bpe.Coder(bpe.read_ranks(open(PATH, "rb").read()), public_tokenizers.PATTERN).encode(text) == ids
