@@ -21,7 +21,7 @@ SIMILAR_LIMIT = 10
 
 
 def vectorise(items: DataFrame, text: str = "text") -> DataFrame:
-    """Add the sorted token buckets and the squared norm of each item's text.
+    """Add the token buckets with their counts and the squared norm of each item's text.
 
     No filter is put on these columns: the optimiser would push it below the projection and hash
     every text twice. Items without a token simply score zero.
@@ -32,10 +32,10 @@ def vectorise(items: DataFrame, text: str = "text") -> DataFrame:
 def embedding_index(items: DataFrame, text: str = "text") -> DataFrame:
     """Persisted form: (id, type, label, ref, bucket, weight), L2-normalised."""
     counted = vectorise(items, text).select(
-        "id", "type", "label", "ref", "norm2", F.explode(V.count_map(F.col("buckets"))).alias("bucket", "tf")
+        "id", "type", "label", "ref", "norm2", F.explode("buckets").alias("b")
     )
     return counted.select(
-        "id", "type", "label", "ref", "bucket", (F.col("tf") / F.sqrt(F.col("norm2"))).alias("weight")
+        "id", "type", "label", "ref", "b.bucket", (F.col("b.n") / F.sqrt(F.col("norm2"))).alias("weight")
     )
 
 

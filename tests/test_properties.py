@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +131,27 @@ def test_global_ordinal_counts_through(spark):
     got = [(r["v"], r["i"]) for r in N.global_ordinal(df, ["v"]).collect()]
     assert sorted(got) == [(i, i) for i in range(1000)]
     assert N.sample_evenly(df, ["v"], 24).count() == 26
+
+
+def test_buckets_of_odd_texts(spark):
+    """Hashed over whole batches, as many numbers per text as it has buckets, and the same as hashing text by text."""
+    odd = ["", "a", "a1", "1a1a1 a1", "x" * 30 + " " + "x" * 31, "é1é abİcÅK9z", "ab\x00cd", "tail7", "7head", "word " * 5000, "a1" * 15 + " " + "a1" * 16, "中文ab"]
+    rows = [(i, t) for i, t in enumerate([*odd, None, *odd[::-1]])]
+    df = spark.createDataFrame(rows, "id int, text string").coalesce(1)
+    got = {r["id"]: r for r in df.select("id", V.buckets(F.col("text")).alias("b"), V.squared_norm(V.buckets(F.col("text"))).alias("q")).collect()}
+    for i, t in rows:
+        if t is None:
+            assert got[i]["b"] is None and got[i]["q"] is None
+            continue
+        want = V.query_counts(t)
+        assert {r["bucket"]: r["n"] for r in got[i]["b"]} == want and [r["bucket"] for r in got[i]["b"]] == sorted(want)
+        assert got[i]["q"] == sum(n * n for n in want.values())
+    slices = V.SLICE_BYTES
+    try:
+        V.SLICE_BYTES = 7  # texts looked at one by one give the same
+        lowered = pa.array([t if t is None else t.lower() for _, t in rows]).slice(2)
+        alone = V._bucket_counts.func(lowered).to_pylist()
+    finally:
+        V.SLICE_BYTES = slices
+    assert alone == V._bucket_counts.func(lowered).to_pylist()
+    assert [x is None for x in alone] == [t is None for _, t in rows[2:]]
