@@ -58,3 +58,35 @@ def test_reach_by_doubling(spark, writes):
     got = G.reach(spark.createDataFrame(list(to.items()), "src bigint, dst bigint"), spark.createDataFrame(seeds, "seed string, node bigint"))
     assert {(r.seed, r.node): r.depth for r in got.collect()} == want
     assert len(writes) < 25
+
+
+def test_layers_and_depths_by_doubling(spark, writes):
+    rng = random.Random(5)
+    to = _graph() | {4000 + i: 4000 + i + 1 for i in range(300)} | {5000 + i: 5000 + i // 2 for i in range(1, 40)}
+    edges = spark.createDataFrame([(a, b) for a, b in to.items()], "src long, dst long")
+    to = {a: b for a, b in to.items() if a != b}
+    nodes, before, near = {*to, *to.values()}, {}, {}
+    for a, b in to.items():
+        before.setdefault(b, []).append(a)
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    layer, open_ = {}, set(nodes)
+    while ready := [n for n in open_ if all(p in layer for p in before.get(n, []))]:
+        layer |= {n: max((layer[p] + 1 for p in before.get(n, [])), default=0) for n in ready}
+        open_ -= set(ready)
+    centres, want, seen = [9999], {9999: 0}, set()
+    for start in sorted(nodes, key=lambda n: rng.random()):
+        if start not in seen:
+            centres.append(start)
+            front, depth = [start], 0
+            while front:
+                want |= dict.fromkeys(front, depth)
+                seen |= set(front)
+                front, depth = list({b for a in front for b in near[a]} - seen), depth + 1
+    assert max(layer.values()) >= 300 and max(want.values()) >= 100
+    got = {r["id"]: r["layer"] for r in G.layers(edges).collect()}
+    assert got == layer
+    first = len(writes)
+    rows = G.centre_depth(edges, spark.createDataFrame([(c,) for c in centres], "id long")).collect()
+    assert {r["id"]: r["depth"] for r in rows} == want and len(rows) == len(want)
+    assert first < 60 and len(writes) - first < 80, "a round a step would write more than 300 tables"
