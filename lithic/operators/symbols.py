@@ -6,6 +6,8 @@ stage is a single pass over the text without a shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,13 +45,40 @@ def parse(files: DataFrame) -> DataFrame:
     )
 
 
-def _doc_above(lines: Column, line: Column) -> Column:
-    """Comment run directly above a line, markers removed, at most 400 characters."""
+def _comment(lines: Column, line: Column) -> Column:
+    """Comment run directly above a line, markers removed."""
     n = F.element_at(F.col("above"), line)
-    text = squeeze(F.regexp_replace(F.array_join(F.slice(lines, line - n, n), "\n"), DOC_MARKERS, ""))
+    return squeeze(F.regexp_replace(F.array_join(F.slice(lines, line - n, n), "\n"), DOC_MARKERS, ""))
+
+
+def _some(text: Column) -> Column:
+    """At most 400 characters of a comment, or null if it is empty."""
     return F.when(F.length(text) > 0, F.substring(text, 1, MAX_DOC))
 
 
+def _doc_above(lines: Column, line: Column) -> Column:
+    return _some(_comment(lines, line))
+
+
+def _closed(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"[(\[{]")) <= F.regexp_count(text, F.lit(r"[)\]}]"))
+
+
+def _stepwise(rows: Column, names: list[str], steps: list[Callable[[Column], dict[str, Column]]]) -> Column:
+    """Structs with more fields, step by step: a lambda computes an expression as often as it names it, a field of an earlier step is there."""
+    for step in steps:
+
+        def grown(m: Column) -> Column:
+            nonlocal names
+            new = step(m)  # noqa: B023 (called at once)
+            kept = [n for n in names if n not in new]
+            names = [*kept, *new]
+            return F.struct(*(m[n].alias(n) for n in kept), *(v.alias(n) for n, v in new.items()))
+
+        rows = F.transform(rows, grown)
+    return rows
+
+
 def _call_names(code: Column) -> Column:
     skip = F.array(*[F.lit(w) for w in NOT_CALLS])
     return F.filter(
@@ -80,29 +109,28 @@ def _span(m: Column) -> tuple[Column, Column]:
 def functions(parsed: DataFrame, only: list[str] | None = None, body: bool = False) -> DataFrame:
     """(id, file, lang, name, line, end_line, loc, complexity, calls, doc, async), with `body` also the lines as a text."""
     found, specs = _defs("function", only)
-
-    def record(m: Column) -> Column:
-        line, end = _span(m)
-        after = F.substr(F.element_at(F.col("code_lines"), line), F.length(m["hit"]) + 1)
-        # An arrow whose body is an expression that this line completes ends here.
-        whole = F.regexp_count(after, F.lit(r"[(\[{]")) <= F.regexp_count(after, F.lit(r"[)\]}]"))
-        end = F.when(m["hit"].rlike(r"=>\s*$") & after.rlike(r"^\s*[^\s{]") & whole, line).otherwise(end)
-        body = F.array_join(F.slice(F.col("code_lines"), line, end - line + 1), "\n")
-        # Definition patterns are anchored at the line start, so the rest of the body follows the hit.
-        inner = F.substr(body, F.length(m["hit"]) + 1)
-        return F.struct(
-            first_spec_name(m, specs).alias("name"),
-            line.cast("bigint").alias("line"),
-            end.cast("bigint").alias("end_line"),
-            (end - line + 1).cast("bigint").alias("loc"),
-            (F.regexp_count(body, F.col("branch")) + 1).cast("bigint").alias("complexity"),
-            _call_names(inner).alias("calls"),
-            _doc_above(F.col("lines"), line).alias("doc"),
-            F.substring(F.element_at(F.col("code_lines"), line), 1, 40).rlike(r"\basync\b").alias("async"),
-        )
+    hit = lambda m: F.length(m["hit"]) + 1
+    # Definition patterns are anchored at the line start, so the rest of the line, and of the body, follows the hit.
+    steps = [
+        lambda m: {"at": m["line"].cast("int"), "row": F.element_at(F.col("code_lines"), m["line"].cast("int"))},
+        lambda m: {"after": F.substr(m["row"], hit(m)), "end": F.greatest(F.element_at(F.col("ends"), m["at"]), m["at"])},
+        # An arrow whose body is an expression that its line completes ends there.
+        lambda m: {"end": F.when(m["hit"].rlike(r"=>\s*$") & m["after"].rlike(r"^\s*[^\s{]") & _closed(m["after"]), m["at"]).otherwise(m["end"])},
+        lambda m: {"body": F.array_join(F.slice(F.col("code_lines"), m["at"], m["end"] - m["at"] + 1), "\n"), "doc": _comment(F.col("lines"), m["at"])},
+    ]
+    record = lambda m: F.struct(
+        first_spec_name(m, specs).alias("name"),
+        m["at"].cast("bigint").alias("line"),
+        m["end"].cast("bigint").alias("end_line"),
+        (m["end"] - m["at"] + 1).cast("bigint").alias("loc"),
+        (F.regexp_count(m["body"], F.col("branch")) + 1).cast("bigint").alias("complexity"),
+        _call_names(F.substr(m["body"], hit(m))).alias("calls"),
+        _some(m["doc"]).alias("doc"),
+        F.substring(m["row"], 1, 40).rlike(r"\basync\b").alias("async"),
+    )
 
     rows = parsed.withColumn("branch", _by_lang({k: g.branch for k, g in GRAMMARS.items()}, F.col("lang"))).select(
-        F.col("path").alias("file"), "lang", *(["lines"] if body else []), F.explode(F.transform(found, record)).alias("f")
+        F.col("path").alias("file"), "lang", *(["lines"] if body else []), F.explode(F.transform(_stepwise(found, ["spec", "line", "hit"], steps), record)).alias("f")
     )
     own = F.array_join(F.slice("lines", F.col("f.line").cast("int"), F.col("f.loc").cast("int")), "\n").alias("body")
     # A typed definition and a constructor pattern can hit the same line; one record per (file, line, name).
