@@ -1,4 +1,6 @@
-"""Files of capabilities: the right rows, from one pass over the accesses that asks for no kind of access."""
+"""Files of capabilities: the right rows, made distinct before it is asked whether they are tests."""
+
+import re
 
 from lithic.operators.capability import evidence_files
 from lithic.plans.warehouse import Warehouse
@@ -18,7 +20,8 @@ def test_users_of_matched_tables(spark, rows):
         [("buy", "b/read.py", False), ("buy", "tests/test_pay.py", True), ("pay", "a/pay.py", False), ("pay", "b/read.py", False), ("pay", "tests/test_pay.py", True)], key=repr
     )
     plan = found._jdf.queryExecution().optimizedPlan().toString()
-    assert "upsert" not in plan  # the pattern that tells writes from reads
+    # Pairs are made distinct by capability and file alone, before it is asked whether a file is a test.
+    assert re.search(r"Aggregate \[(.*?)\]", plan)[1].count(",") == 1
 
 
 def test_sizes_of_files_need_no_line_items(spark, rows):
